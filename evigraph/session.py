@@ -49,3 +49,21 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """Write ``df`` to the checkpoint folder and return a reader of the written copy."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Give the package to the session's Python workers, once per application."""
+    import shutil
+
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        folder = tempfile.mkdtemp(prefix="evigraph-")  # on the driver only; executors fetch the archive from it
+        stage = os.path.join(folder, "stage")
+        shutil.copytree(os.path.join(root, "evigraph"), os.path.join(stage, "evigraph"), ignore=shutil.ignore_patterns("__pycache__"))
+        sc.addPyFile(shutil.make_archive(os.path.join(folder, "evigraph_package"), "zip", stage))
+        _SHIPPED.add(sc.applicationId)
+    return spark
