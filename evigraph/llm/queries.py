@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigraph.llm.bpe import decode_corpus, encode_corpus
+from evigraph.llm.knn import neighbour_pairs
 from evigraph.llm.sentences import sentence_units
 from evigraph.llm.split import split_long
 from evigraph.llm.token_budget import canonical_source, document_tokens, roll_up
@@ -37,6 +38,12 @@ def p4_tokens(spark: SparkSession, d: str) -> DataFrame:
     return a.withColumns({"of_table": F.lit("papers"), "domain": F.lit("")}).select(*cols).unionByName(b.withColumn("of_table", F.lit("documents")).select(*cols))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of sentence vectors of which one is among the other's five nearest."""
+    v = read_table(spark, d, "methods_sentences").select("vec_id", "vector")
+    return neighbour_pairs(v, "vec_id", "vector").select(F.col("a").alias("vec_id_a"), F.col("b").alias("vec_id_b"))
+
+
 def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Pieces of each long methods text."""
     return split_long(_papers(spark, d, "methods_text"), "paper_id", "methods_text").drop("piece")
@@ -66,7 +73,7 @@ P8_SQL = "SELECT doc_id, length(coalesce(text, '')) AS n_chars, md5(coalesce(tex
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p4_tokens": p4_tokens, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip}
+    return {"p1_found": p1_found, "p4_tokens": p4_tokens, "p5_found": p5_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip}
 
 
 def oracle_sql() -> dict[str, str]:
