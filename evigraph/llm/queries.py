@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evigraph.llm.bpe import decode_corpus, encode_corpus
 from evigraph.llm.knn import neighbour_pairs
+from evigraph.llm.refmatch import match
 from evigraph.llm.sentences import sentence_units
 from evigraph.llm.split import split_long
 from evigraph.llm.token_budget import canonical_source, document_tokens, roll_up
@@ -44,6 +45,18 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbour_pairs(v, "vec_id", "vector").select(F.col("a").alias("vec_id_a"), F.col("b").alias("vec_id_b"))
 
 
+def p6_match(spark: SparkSession, d: str) -> DataFrame:
+    """The paper each reference cites, with a confidence."""
+    p = latest_rows(read_table(spark, d, "papers").select("paper_id", "title", "pub_year", "venue", "ingested_at"), "paper_id", "ingested_at", "title")
+    r = read_table(spark, d, "paper_refs").select("ref_row_id", "raw_citation", "title", "pub_year", "doi", "arxiv_id", "pmc_id").dropDuplicates(["ref_row_id"])
+    return match(p, r, read_table(spark, d, "paper_authors").select("paper_id", "author_pos", "author_name"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """References whose cited work is among the papers."""
+    return p6_match(spark, d).select("ref_row_id", "paper_id")
+
+
 def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Pieces of each long methods text."""
     return split_long(_papers(spark, d, "methods_text"), "paper_id", "methods_text").drop("piece")
@@ -73,7 +86,7 @@ P8_SQL = "SELECT doc_id, length(coalesce(text, '')) AS n_chars, md5(coalesce(tex
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p4_tokens": p4_tokens, "p5_found": p5_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip}
+    return {"p1_found": p1_found, "p4_tokens": p4_tokens, "p5_found": p5_found, "p6_found": p6_found, "p6_match": p6_match, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip}
 
 
 def oracle_sql() -> dict[str, str]:
