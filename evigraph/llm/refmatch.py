@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import html
 import math
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -32,14 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BANDS, ROWS = 10, 4
+BANDS, ROWS = 8, 4
 COMMON_SHARE, COMMON_LEAST = 0.001, 12
 SAMPLE_REFS = 6_000
 #: Words that carry no content in a title or a citation.
 STOP = set("a an the of and in on for with to from by at as or et al others amp beta b in".split())
 ROMAN = regex.compile(r"(?:i{1,3}|iv|v|vi{1,3}|ix|x)$")
 _TAG = regex.compile(r"</?\w{1,6}>")
-_TOKEN = regex.compile(r"[a-z0-9]+")
+_TOKEN = re.compile(r"[^\W_]+")
+_ACCENTS = regex.compile(r"\p{Mn}+")
 _YEAR = regex.compile(r"(?<!\d)(?:19|20)\d\d(?!\d)")
 _CUT = regex.compile(r"…|\[\.\.\.\]|\.\.\.")
 _TAIL_END = regex.compile(r"[.”\"/<(\[]|,”| // ")
@@ -56,7 +58,7 @@ def fold(text: str | None) -> str:
         text = _TAG.sub("", html.unescape(text))
     if not text.isascii():
         text = text.replace("β", "beta").replace("Β", "beta").replace("ß", "ss")
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+        text = _ACCENTS.sub("", unicodedata.normalize("NFKD", text))
     return text.lower()
 
 
@@ -71,6 +73,7 @@ class Hasher:
         rng = np.random.default_rng(20240601)
         self.a = rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
         self.b = rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
+        self.mix = rng.integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
         self.common = common
         self.word: dict[str, np.ndarray] = {}
         self.rare: dict[str, np.ndarray] = {}
@@ -92,8 +95,9 @@ class Hasher:
         p = f"^{rare}$"
         parts = [self._of(self.rare, rare, [f"{p[i : i + 3]}/{c}" for i in range(len(p) - 2) for c in "ab"])]
         parts += [self._of(self.word, w, [f"w:{w}"]) for w in context]
-        sig = np.minimum.reduce(parts).reshape(BANDS, ROWS)
-        return [xxhash.xxh64_intdigest(sig[i].tobytes(), seed=i) - 2**63 for i in range(BANDS)]
+        sig = np.array(parts).min(0).reshape(BANDS, ROWS)
+        mixed = ((sig ^ (sig >> np.uint64(29))) * self.mix).sum(1, dtype=np.uint64)
+        return (mixed ^ (mixed >> np.uint64(32))).view(np.int64).tolist()
 
     def title_keys(self, tokens: list[str], near: bool) -> list[int]:
         """Keys of all rare words; with ``near`` only of those beside a common word (citations hold names, too)."""
@@ -199,42 +203,55 @@ def _acronym(venue: list[str]) -> str:
     return "".join(w[0] for w in venue if w not in STOP)
 
 
-def features(paper: tuple, ref: tuple, common: frozenset[str]) -> list[float]:
-    """One row of NAMES. paper: (title, year, venue, authors); ref: (citation, title, year)."""
-    title, p_year, venue, authors = paper
-    citation, r_title, r_year = ref
-    t = words(fold(title))
-    c_text, r_text = fold(citation), fold(r_title)
-    rows = []
-    if r_text.strip():
-        rows.append(_compare(t, words(r_text), True, None, bool(_CUT.search(r_text))) + (bool(_CUT.search(r_text)),))
-    if c_text.strip():
-        other, part, k = [], [], 0
-        for m in _TOKEN.finditer(c_text):
-            if other and _TAIL_END.search(c_text, prev, m.start()):
+class Reference:
+    """A reference's texts, prepared once for all its candidates."""
+
+    def __init__(self, citation: str | None, title: str | None, year: int | None):
+        r = fold(title)
+        self.title = words(r) if r.strip() else None
+        self.title_cut = bool(_CUT.search(r))
+        text = fold(citation)
+        self.words: list[str] = []
+        self.part: list[int] = []  # number of the stretch between title-ending marks
+        k = prev = 0
+        for m in _TOKEN.finditer(text):
+            if self.words and _TAIL_END.search(text, prev, m.start()):
                 k += 1
-            other.append(m.group())
-            part.append(k)
+            self.words.append(m.group())
+            self.part.append(k)
             prev = m.end()
-        cut = bool(_CUT.search(c_text))
-        rows.append(_compare(t, other, False, part, cut) + (cut,))
-    else:
-        other = []
+        self.cut = bool(_CUT.search(text))
+        self.years = [year] if year else [int(y) for y in _YEAR.findall(text)]
+        self.early = set(self.words[:14] + self.words[-14:])
+        self.all = set(self.words) | set(self.title or ())
+        self.long = [w for w in self.all if len(w) >= 4]
+
+
+def features(paper: tuple, ref: Reference, common: frozenset[str]) -> list[float]:
+    """One row of NAMES. paper: (title, year, venue, first author)."""
+    title, p_year, venue, author_name = paper
+    t = words(fold(title))
+    rare = [w for w in t if w not in common and len(w) >= 5]
+    seen = not rare or any(w in ref.all for w in rare) or any(same_word(w, x) for w in rare for x in ref.long if x not in common and abs(len(x) - len(w)) < 3)
+    rows = []
+    if seen:
+        if ref.title:
+            rows.append(_compare(t, ref.title, True, None, ref.title_cut) + (ref.title_cut,))
+        if ref.words:
+            rows.append(_compare(t, ref.words, False, ref.part, ref.cut) + (ref.cut,))
     no_title = not rows or max(r[2] for r in rows) < 0.4
     best = max(rows, key=lambda r: (-(r[0] + r[1]), r[2], not r[4]), default=(5, 5, 0.0, set(), False))
     if len(rows) == 2 and not rows[0][4] and rows[0][2] >= 0.4 and rows[1][4]:
         best = rows[0]
-    rare = [i for i, w in enumerate(t) if w not in common and len(w) >= 5]
-    found = not rare or any(i in best[3] for i in rare)
-    years = [r_year] if r_year else [int(y) for y in _YEAR.findall(c_text)]
-    off = min((abs(y - p_year) for y in years), default=None) if p_year else None
-    first = set(words(fold(authors[0]))) if authors else set()
-    early = set(other[:14] + other[-14:])
-    author = any(len(w) >= 4 and w in early for w in first)
-    v = words(fold(venue))
-    content = [w for w in v if w not in STOP]
-    it = iter(other)
-    has_venue = bool(content) and (_acronym(v) in set(other) or all(any(len(x) >= 3 and w.startswith(x[: max(3, len(x) - 1)]) for x in it) for w in content))
+    found = not rare or any(t[i] in rare for i in best[3])
+    off = min((abs(y - p_year) for y in ref.years), default=None) if p_year else None
+    author = bool(author_name) and any(len(w) >= 4 and w in ref.early for w in words(fold(author_name)))
+    has_venue = False
+    if venue and ref.words:
+        v = words(fold(venue))
+        content = [w for w in v if w not in STOP]
+        it = iter(ref.words)
+        has_venue = bool(content) and (_acronym(v) in ref.early or all(any(len(x) >= 3 and w.startswith(x[: max(3, len(x) - 1)]) for x in it) for w in content))
     y0, y1 = off == 0, off == 1
     return [float(x) for x in (min(best[0], 5), min(best[1], 5), best[2], found, best[4], no_title, y0, y1, off is not None and off > 1, author, has_venue, no_title and author and y0, no_title and has_venue)]
 
@@ -298,7 +315,7 @@ def match(papers: DataFrame, refs: DataFrame, authors: DataFrame | None = None,
                 keys += own
                 rows += [i] * len(own)
             at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *[c.take(at) for c in b.columns]], names=["key", *b.schema.names])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), b.column(0).take(at)], names=["key", "paper_id"])
 
     def ref_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = Hasher(shared.value)
@@ -320,12 +337,14 @@ def match(papers: DataFrame, refs: DataFrame, authors: DataFrame | None = None,
                 rows += [rid] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(rows, pa.int64())], names=["key", "ref_row_id"])
 
-    p_keys = titled.mapInArrow(paper_keys, "key long, paper_id string, title string, p_year int, venue string, first_author string")
+    # pairs travel as numbers: 64-bit hashes of paper ids, resolved on both sides of the join
+    p_keys = titled.mapInArrow(paper_keys, "key long, paper_id string").select("key", F.xxhash64("paper_id").alias("paper_no"))
+    described = titled.withColumn("paper_no", F.xxhash64("paper_id"))
 
     def pairs_of(some: DataFrame) -> DataFrame:
         keyed = some.mapInArrow(ref_keys, "key long, ref_row_id long")
-        pairs = keyed.join(p_keys, "key").drop("key").repartition("ref_row_id").dropDuplicates(["ref_row_id", "paper_id"])
-        return pairs.join(some, "ref_row_id")
+        pairs = keyed.join(p_keys, "key").select("ref_row_id", "paper_no").distinct()
+        return pairs.join(described, "paper_no").drop("paper_no").join(some, "ref_row_id")
 
     order = ["ref_row_id", "paper_id", "title", "p_year", "venue", "first_author", "raw_citation", "r_title", "r_year", "doi", "arxiv_id", "pmc_id"]
 
@@ -337,7 +356,7 @@ def match(papers: DataFrame, refs: DataFrame, authors: DataFrame | None = None,
     for r in pairs_of(sample).select(*order).toPandas().itertuples(index=False):
         v = [None if x is None or x != x else x for x in r]
         named = v[1] in identifiers(v[9], v[10], v[11])
-        f = features((v[2], v[3], v[4], [v[5]] if v[5] else []), (v[6], v[7], v[8]), common)
+        f = features((v[2], v[3], v[4], v[5]), Reference(v[6], v[7], v[8]), common)
         if named and f[2] < 0.4 and not f[5]:
             continue  # the identifier contradicts the text: no label
         if named and f[5] and not (f[9] or f[10] or f[6]):
@@ -354,8 +373,11 @@ def match(papers: DataFrame, refs: DataFrame, authors: DataFrame | None = None,
         w, slope, constant = learned.value
         for b in batches:
             rid, pid, conf = [], [], []
+            last, ref = None, None
             for v in rows_of(b):
-                f = features((v[2], v[3], v[4], [v[5]] if v[5] else []), (v[6], v[7], v[8]), shared.value)
+                if v[0] != last:
+                    last, ref = v[0], Reference(v[6], v[7], v[8])
+                f = features((v[2], v[3], v[4], v[5]), ref, shared.value)
                 z = slope * (float(np.dot(f, w[:-1])) + float(w[-1])) + constant
                 if v[1] in identifiers(v[9], v[10], v[11]) and (f[2] >= 0.6 and f[0] + f[1] <= 2 or f[5] and (f[6] or f[7] or f[9] or not (v[6] or "").strip())):
                     z += 3.0
