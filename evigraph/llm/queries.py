@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evigraph.llm.bpe import decode_corpus, encode_corpus
 from evigraph.llm.knn import neighbour_pairs
+from evigraph.llm.names import entity_pairs
 from evigraph.llm.refmatch import match
 from evigraph.llm.sentences import sentence_units
 from evigraph.llm.split import split_long
@@ -29,6 +30,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return sentence_units(p, "paper_id", "methods_text", "lang")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of author entries of one person or consortium."""
+    a = read_table(spark, d, "paper_authors").select("author_id", "author_name", "affiliation", "orcid")
+    return entity_pairs(a).select(F.col("a").alias("author_id_a"), F.col("b").alias("author_id_b"))
+
+
 def p4_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Tokens per source and language of papers, and per source, language and domain of documents."""
     p = _papers(spark, d, "methods_text", "lang", "source").withColumn("source", canonical_source(F.col("source")))
@@ -86,7 +93,7 @@ P8_SQL = "SELECT doc_id, length(coalesce(text, '')) AS n_chars, md5(coalesce(tex
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p4_tokens": p4_tokens, "p5_found": p5_found, "p6_found": p6_found, "p6_match": p6_match, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p4_tokens": p4_tokens, "p5_found": p5_found, "p6_found": p6_found, "p6_match": p6_match, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip}
 
 
 def oracle_sql() -> dict[str, str]:
