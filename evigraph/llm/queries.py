@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigraph.llm.bpe import decode_corpus, encode_corpus
+from evigraph.llm.encoding import find_garbled
 from evigraph.llm.knn import neighbour_pairs
 from evigraph.llm.names import entity_pairs
 from evigraph.llm.refmatch import match
@@ -85,6 +86,17 @@ def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with a wrongly decoded passage: restored text (as hash), chains used, and whether some is lost."""
+    g = find_garbled(read_table(spark, d, "documents").select("doc_id", "text"))
+    return g.select("doc_id", F.md5("restored").alias("restored_md5"), F.array_join("chains", "; ").alias("chains"), "lossy")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with at least one passage decoded with the wrong encoding."""
+    return find_garbled(read_table(spark, d, "documents").select("doc_id", "text")).select("doc_id")
+
+
 P7_SQL = r"""
 SELECT DISTINCT paper_id, CASE WHEN list_max(list_transform(regexp_split_to_array(methods_text, '[\s\x{a0}\x{2000}-\x{200a}\x{3000}.!?。！？｡．।]+'), lambda x: length(x))) > 4000 THEN 'forced' ELSE 'natural' END AS cut_kind
 FROM papers WHERE length(methods_text) > 4000
@@ -93,7 +105,7 @@ P8_SQL = "SELECT doc_id, length(coalesce(text, '')) AS n_chars, md5(coalesce(tex
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p4_tokens": p4_tokens, "p5_found": p5_found, "p6_found": p6_found, "p6_match": p6_match, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p4_tokens": p4_tokens, "p5_found": p5_found, "p6_found": p6_found, "p6_match": p6_match, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p10_found": p10_found, "p10_restored": p10_restored}
 
 
 def oracle_sql() -> dict[str, str]:
