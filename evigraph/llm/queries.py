@@ -56,7 +56,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_match(spark: SparkSession, d: str) -> DataFrame:
     """The paper each reference cites, with a confidence."""
     p = latest_rows(read_table(spark, d, "papers").select("paper_id", "title", "pub_year", "venue", "ingested_at"), "paper_id", "ingested_at", "title")
-    r = read_table(spark, d, "paper_refs").select("ref_row_id", "raw_citation", "title", "pub_year", "doi", "arxiv_id", "pmc_id").dropDuplicates(["ref_row_id"])
+    r = read_table(spark, d, "paper_refs").select("ref_row_id", "raw_citation", "title", "pub_year", "doi", "arxiv_id", "pmc_id")
     return match(p, r, read_table(spark, d, "paper_authors").select("paper_id", "author_pos", "author_name"))
 
 

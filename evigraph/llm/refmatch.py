@@ -15,7 +15,8 @@
    candidate of at least ``threshold`` is the match.
 
 Null fields and empty texts are missing evidence; a reference without any gets no row. Repeated
-rows count once. Empty tables give no rows.
+rows of a reference are harmless: its best candidate over all of them counts once. Empty tables
+give no rows.
 """
 
 from __future__ import annotations
@@ -66,8 +67,16 @@ def words(text: str) -> list[str]:
     return _TOKEN.findall(text)
 
 
+def _bits(word: str) -> int:
+    """64-bit map of a word's letter pairs, to drop chance block mates cheaply."""
+    p, out = f"^{word}$", 0
+    for i in range(len(p) - 1):
+        out |= 1 << (ord(p[i]) * 31 + ord(p[i + 1]) * 7) % 63
+    return out
+
+
 class Hasher:
-    """MinHash of (rare word, context words), with the parts' minima kept in bounded tables."""
+    """MinHash of (rare word, context words), for a batch at a time; minima of features are kept in a table."""
 
     def __init__(self, common: frozenset[str]):
         rng = np.random.default_rng(20240601)
@@ -75,41 +84,60 @@ class Hasher:
         self.b = rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
         self.mix = rng.integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
         self.common = common
-        self.word: dict[str, np.ndarray] = {}
-        self.rare: dict[str, np.ndarray] = {}
-
-    def _minima(self, features: list[str]) -> np.ndarray:
-        h = np.array([xxhash.xxh64_intdigest(f) for f in features], np.uint64)
-        with np.errstate(over="ignore"):
-            return (h[:, None] * self.a[None, :] + self.b[None, :]).min(0)
-
-    def _of(self, table: dict, key: str, features: list[str]) -> np.ndarray:
-        got = table.get(key)
-        if got is None:
-            if len(table) > 200_000:
-                table.clear()
-            got = table[key] = self._minima(features)
-        return got
-
-    def keys(self, rare: str, context: list[str]) -> list[int]:
-        p = f"^{rare}$"
-        parts = [self._of(self.rare, rare, [f"{p[i : i + 3]}/{c}" for i in range(len(p) - 2) for c in "ab"])]
-        parts += [self._of(self.word, w, [f"w:{w}"]) for w in context]
-        sig = np.array(parts).min(0).reshape(BANDS, ROWS)
-        mixed = ((sig ^ (sig >> np.uint64(29))) * self.mix).sum(1, dtype=np.uint64)
-        return (mixed ^ (mixed >> np.uint64(32))).view(np.int64).tolist()
-
-    def title_keys(self, tokens: list[str], near: bool) -> list[int]:
-        """Keys of all rare words; with ``near`` only of those beside a common word (citations hold names, too)."""
-        common = self.common
-        context = sorted({t for t in tokens if t in common and t not in STOP})
-        out: list[int] = []
+        self.reset()
+
+    def reset(self) -> None:
+        self.number: dict[str, int] = {}
+        self.hashes: list[int] = []
+        self.features: list[int] = []
+        self.starts: list[int] = []
+        self.rows: list[int] = []
+        self.maps: list[int] = []
+
+    def _feature(self, text: str) -> int:
+        n = self.number.get(text)
+        if n is None:
+            n = self.number[text] = len(self.hashes)
+            self.hashes.append(xxhash.xxh64_intdigest(text))
+        return n
+
+    def add_title(self, row: int, tokens: list[str], near: bool) -> int:
+        """Post a row's rare words; with ``near`` only those beside a common word (citations hold names, too)."""
+        common, feature, posted = self.common, self._feature, 0
+        context = None
         for i, t in enumerate(tokens):
             if len(t) < 5 or t in common or t.isdigit():
                 continue
-            if near and not any(x in common for x in tokens[max(0, i - 1) : i] + tokens[i + 1 : i + 3]):
+            if near and not ((i and tokens[i - 1] in common) or any(x in common for x in tokens[i + 1 : i + 3])):
                 continue
-            out += self.keys(t, context)
+            if context is None:
+                context = [feature("w:" + w) for w in sorted({x for x in tokens if x in common and x not in STOP})]
+            p = f"^{t}$"
+            self.starts.append(len(self.features))
+            for j in range(len(p) - 2):
+                g = p[j : j + 3]
+                self.features.append(feature(g + "/a"))
+                self.features.append(feature(g + "/b"))
+            self.features += context
+            self.rows.append(row)
+            self.maps.append(_bits(t))
+            posted += 1
+        return posted
+
+    def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(block keys, rows, maps) of all posted words; forgets them."""
+        if not self.rows:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        h = np.array(self.hashes, np.uint64)
+        with np.errstate(over="ignore"):
+            table = h[:, None] * self.a[None, :] + self.b[None, :]
+            sig = np.minimum.reduceat(table[np.array(self.features)], np.array(self.starts), axis=0).reshape(-1, BANDS, ROWS)
+            mixed = ((sig ^ (sig >> np.uint64(29))) * self.mix).sum(2, dtype=np.uint64)
+            keys = (mixed ^ (mixed >> np.uint64(32))).view(np.int64)
+        out = keys.ravel(), np.repeat(np.array(self.rows, np.int64), BANDS), np.repeat(np.array(self.maps, np.uint64).view(np.int64), BANDS)
+        self.features, self.starts, self.rows, self.maps = [], [], [], []
+        if len(self.hashes) > 100_000:
+            self.reset()
         return out
 
 
@@ -227,12 +255,28 @@ class Reference:
         self.long = [w for w in self.all if len(w) >= 4]
 
 
-def features(paper: tuple, ref: Reference, common: frozenset[str]) -> list[float]:
-    """One row of NAMES. paper: (title, year, venue, first author)."""
-    title, p_year, venue, author_name = paper
-    t = words(fold(title))
-    rare = [w for w in t if w not in common and len(w) >= 5]
-    seen = not rare or any(w in ref.all for w in rare) or any(same_word(w, x) for w in rare for x in ref.long if x not in common and abs(len(x) - len(w)) < 3)
+class Paper:
+    """A paper's attributes, prepared once for all its candidates."""
+
+    def __init__(self, title: str | None, year: int | None, venue: str | None, author: str | None, common: frozenset[str]):
+        self.words = words(fold(title))
+        self.rare = [w for w in self.words if w not in common and len(w) >= 5]
+        self.year = year
+        self.venue = words(fold(venue))
+        self.venue_content = [w for w in self.venue if w not in STOP]
+        self.acronym = _acronym(self.venue)
+        self.author = [w for w in words(fold(author)) if len(w) >= 4]
+
+
+def _like(a: str, b: str) -> bool:
+    """Cheap precondition of a slip: a common beginning or end."""
+    return abs(len(a) - len(b)) < 3 and (a[:2] == b[:2] or a[-3:] == b[-3:]) and same_word(a, b)
+
+
+def features(paper: Paper, ref: Reference, common: frozenset[str]) -> list[float]:
+    """One row of NAMES."""
+    t, rare, p_year = paper.words, paper.rare, paper.year
+    seen = not rare or any(w in ref.all for w in rare) or any(_like(w, x) for w in rare for x in ref.long if x not in common)
     rows = []
     if seen:
         if ref.title:
@@ -245,13 +289,11 @@ def features(paper: tuple, ref: Reference, common: frozenset[str]) -> list[float
         best = rows[0]
     found = not rare or any(t[i] in rare for i in best[3])
     off = min((abs(y - p_year) for y in ref.years), default=None) if p_year else None
-    author = bool(author_name) and any(len(w) >= 4 and w in ref.early for w in words(fold(author_name)))
+    author = any(w in ref.early for w in paper.author)
     has_venue = False
-    if venue and ref.words:
-        v = words(fold(venue))
-        content = [w for w in v if w not in STOP]
+    if paper.venue_content and ref.words:
         it = iter(ref.words)
-        has_venue = bool(content) and (_acronym(v) in ref.early or all(any(len(x) >= 3 and w.startswith(x[: max(3, len(x) - 1)]) for x in it) for w in content))
+        has_venue = paper.acronym in ref.early or all(any(len(x) >= 3 and w.startswith(x[: max(3, len(x) - 1)]) for x in it) for w in paper.venue_content)
     y0, y1 = off == 0, off == 1
     return [float(x) for x in (min(best[0], 5), min(best[1], 5), best[2], found, best[4], no_title, y0, y1, off is not None and off > 1, author, has_venue, no_title and author and y0, no_title and has_venue)]
 
@@ -287,7 +329,7 @@ def match(papers: DataFrame, refs: DataFrame, authors: DataFrame | None = None,
     """(ref_row_id, paper_id, confidence): the cited paper of each reference that has one.
 
     papers: paper_id, title, pub_year, venue; refs: ref_row_id, raw_citation, title, pub_year, doi,
-    arxiv_id, pmc_id; authors: paper_id, author_pos, author_name. Ids must be unique.
+    arxiv_id, pmc_id; authors: paper_id, author_pos, author_name. Paper ids must be unique.
     """
     spark = papers.sparkSession
     titled = papers.select("paper_id", "title", F.col("pub_year").alias("p_year"), "venue").filter(F.col("paper_id").isNotNull())
@@ -304,46 +346,50 @@ def match(papers: DataFrame, refs: DataFrame, authors: DataFrame | None = None,
     shared = spark.sparkContext.broadcast(common)
     slim = refs.select("ref_row_id", "raw_citation", F.col("title").alias("r_title"), F.col("pub_year").alias("r_year"), "doi", "arxiv_id", "pmc_id").filter(F.col("ref_row_id").isNotNull())
 
+    def keyed(h: Hasher, extra: list[tuple[int, int]], ids: pa.Array, name: str) -> pa.RecordBatch:
+        keys, rows, maps = h.take()
+        keys = np.concatenate([keys, np.array([k for k, _ in extra], np.int64)])
+        rows = np.concatenate([rows, np.array([r for _, r in extra], np.int64)])
+        maps = np.concatenate([maps, np.full(len(extra), -1, np.int64)])
+        return pa.RecordBatch.from_arrays([pa.array(keys), ids.take(pa.array(rows)), pa.array(maps)], names=["key", name, "map"])
+
     def paper_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = Hasher(shared.value)
         for b in batches:
-            keys, rows = [], []
+            extra = []
             for i, (pid, title, year, _, author) in enumerate(zip(*(c.to_pylist() for c in b.columns))):
-                own = set(h.title_keys(words(fold(title)), False)) | {_key(pid)}
+                h.add_title(i, words(fold(title)), False)
+                extra.append((_key(pid), i))
                 if author and year:
-                    own |= {_key(f"{w}|{year}") for w in words(fold(author)) if len(w) >= 4}
-                keys += own
-                rows += [i] * len(own)
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), b.column(0).take(at)], names=["key", "paper_id"])
+                    extra += [(_key(f"{w}|{year}"), i) for w in set(words(fold(author))) if len(w) >= 4]
+            yield keyed(h, extra, b.column(0), "paper_id")
 
     def ref_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = Hasher(shared.value)
         for b in batches:
-            keys, rows = [], []
-            for rid, citation, title, year, doi, arxiv, pmc in zip(*(c.to_pylist() for c in b.columns)):
-                own = set()
-                text = fold(citation)
-                if title:
-                    own |= set(h.title_keys(words(fold(title)), False))
-                tokens = words(text)
-                if not own or _CUT.search(title or ""):
-                    own |= set(h.title_keys(tokens, True))
-                own |= {_key(p) for p in identifiers(doi, arxiv, pmc, citation if citation and "10." in citation else None)}
-                if not title and sum(t in h.common and t not in STOP for t in tokens) < 4:
-                    for y in {year} if year else set(_YEAR.findall(text)):
-                        own |= {_key(f"{w}|{y}") for w in tokens[:10] if len(w) >= 4 and w not in h.common and not w.isdigit()}
-                keys += own
-                rows += [rid] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(rows, pa.int64())], names=["key", "ref_row_id"])
+            extra = []
+            for i, (_, citation, title, year, doi, arxiv, pmc) in enumerate(zip(*(c.to_pylist() for c in b.columns))):
+                n = h.add_title(i, words(fold(title)), False) if title else 0
+                if not n or _CUT.search(title):
+                    text = fold(citation)
+                    tokens = words(text)
+                    n += h.add_title(i, tokens, True)
+                    if not title and sum(t in h.common and t not in STOP for t in tokens) < 4:
+                        for y in {year} if year else set(_YEAR.findall(text)):
+                            extra += [(_key(f"{w}|{y}"), i) for w in set(tokens[:10]) if len(w) >= 4 and w not in h.common and not w.isdigit()]
+                if doi or arxiv or pmc or citation and "10." in citation:
+                    extra += [(_key(p), i) for p in identifiers(doi, arxiv, pmc, citation if citation and "10." in citation else None)]
+            yield keyed(h, extra, b.column(0), "ref_row_id")
 
     # pairs travel as numbers: 64-bit hashes of paper ids, resolved on both sides of the join
-    p_keys = titled.mapInArrow(paper_keys, "key long, paper_id string").select("key", F.xxhash64("paper_id").alias("paper_no"))
+    p_keys = titled.mapInArrow(paper_keys, "key long, paper_id string, map long").select("key", F.xxhash64("paper_id").alias("paper_no"), F.col("map").alias("p_map"))
     described = titled.withColumn("paper_no", F.xxhash64("paper_id"))
 
     def pairs_of(some: DataFrame) -> DataFrame:
-        keyed = some.mapInArrow(ref_keys, "key long, ref_row_id long")
-        pairs = keyed.join(p_keys, "key").select("ref_row_id", "paper_no").distinct()
+        posted = some.mapInArrow(ref_keys, "key long, ref_row_id long, map long")
+        # chance block mates share few letter pairs; identifiers and authors have all bits set
+        alike = F.bit_count(F.col("map").bitwiseAND(F.col("p_map"))) * 2 >= F.bit_count("p_map")
+        pairs = posted.join(p_keys, "key").filter(alike).select("ref_row_id", "paper_no").distinct()
         return pairs.join(described, "paper_no").drop("paper_no").join(some, "ref_row_id")
 
     order = ["ref_row_id", "paper_id", "title", "p_year", "venue", "first_author", "raw_citation", "r_title", "r_year", "doi", "arxiv_id", "pmc_id"]
@@ -356,7 +402,7 @@ def match(papers: DataFrame, refs: DataFrame, authors: DataFrame | None = None,
     for r in pairs_of(sample).select(*order).toPandas().itertuples(index=False):
         v = [None if x is None or x != x else x for x in r]
         named = v[1] in identifiers(v[9], v[10], v[11])
-        f = features((v[2], v[3], v[4], v[5]), Reference(v[6], v[7], v[8]), common)
+        f = features(Paper(v[2], v[3], v[4], v[5], common), Reference(v[6], v[7], v[8]), common)
         if named and f[2] < 0.4 and not f[5]:
             continue  # the identifier contradicts the text: no label
         if named and f[5] and not (f[9] or f[10] or f[6]):
@@ -371,13 +417,19 @@ def match(papers: DataFrame, refs: DataFrame, authors: DataFrame | None = None,
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, slope, constant = learned.value
+        papers_seen: dict[str, Paper] = {}
         for b in batches:
             rid, pid, conf = [], [], []
             last, ref = None, None
             for v in rows_of(b):
                 if v[0] != last:
                     last, ref = v[0], Reference(v[6], v[7], v[8])
-                f = features((v[2], v[3], v[4], v[5]), ref, shared.value)
+                p = papers_seen.get(v[1])
+                if p is None:
+                    if len(papers_seen) > 50_000:
+                        papers_seen.clear()
+                    p = papers_seen[v[1]] = Paper(v[2], v[3], v[4], v[5], shared.value)
+                f = features(p, ref, shared.value)
                 z = slope * (float(np.dot(f, w[:-1])) + float(w[-1])) + constant
                 if v[1] in identifiers(v[9], v[10], v[11]) and (f[2] >= 0.6 and f[0] + f[1] <= 2 or f[5] and (f[6] or f[7] or f[9] or not (v[6] or "").strip())):
                     z += 3.0
