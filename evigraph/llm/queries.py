@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from evigraph.llm.bpe import decode_corpus, encode_corpus
 from evigraph.llm.encoding import find_garbled
 from evigraph.llm.knn import neighbour_pairs
+from evigraph.llm.mix import mix, shares
 from evigraph.llm.names import entity_pairs
 from evigraph.llm.refmatch import match
 from evigraph.llm.sentences import sentence_units
@@ -86,6 +87,16 @@ def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of the mixture and how often each is used."""
+    return mix(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of each source."""
+    return shares(p9_mix(spark, d), read_table(spark, d, "mix_targets"))
+
+
 def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     """Documents with a wrongly decoded passage: restored text (as hash), chains used, and whether some is lost."""
     g = find_garbled(read_table(spark, d, "documents").select("doc_id", "text"))
@@ -105,7 +116,7 @@ P8_SQL = "SELECT doc_id, length(coalesce(text, '')) AS n_chars, md5(coalesce(tex
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p4_tokens": p4_tokens, "p5_found": p5_found, "p6_found": p6_found, "p6_match": p6_match, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p10_found": p10_found, "p10_restored": p10_restored}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p4_tokens": p4_tokens, "p5_found": p5_found, "p6_found": p6_found, "p6_match": p6_match, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_restored": p10_restored}
 
 
 def oracle_sql() -> dict[str, str]:
