@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evigraph.plans import nested
+from evigraph.plans import nested, text
 
-_PARTS = [nested]
+_PARTS = [nested, text]
 
 
 def queries() -> dict:
