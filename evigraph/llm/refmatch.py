@@ -388,7 +388,8 @@ def match(papers: DataFrame, refs: DataFrame, authors: DataFrame | None = None,
     def pairs_of(some: DataFrame) -> DataFrame:
         posted = some.mapInArrow(ref_keys, "key long, ref_row_id long, map long")
         # chance block mates share few letter pairs; identifiers and authors have all bits set
-        alike = F.bit_count(F.col("map").bitwiseAND(F.col("p_map"))) * 2 >= F.bit_count("p_map")
+        # (one slip in a word changes at most a quarter of its pairs)
+        alike = F.bit_count(F.col("map").bitwiseAND(F.col("p_map"))) * 10 >= F.bit_count("p_map") * 7
         pairs = posted.join(p_keys, "key").filter(alike).select("ref_row_id", "paper_no").distinct()
         return pairs.join(described, "paper_no").drop("paper_no").join(some, "ref_row_id")
 
