@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evigraph.plans import nested, text
+from evigraph.plans import nested, retrieval, text
 
-_PARTS = [nested, text]
+_PARTS = [nested, text, retrieval]
 
 
 def queries() -> dict:
