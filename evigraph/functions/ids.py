@@ -69,7 +69,7 @@ def token_estimate(text: Column) -> Column:
 
 def fresh(ingested_at: Column, now: Column, ttl_seconds: int) -> Column:
     """Whether a negative result is still valid; a missing or later time is not."""
-    age = F.unix_micros(now) - F.unix_micros(ingested_at)
+    age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(ingested_at.cast("timestamp"))
     return F.coalesce((age >= 0) & (age < ttl_seconds * 1_000_000), F.lit(False))
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evigraph.plans import nested, retrieval, text
+from evigraph.plans import nested, resolution, retrieval, text
 
-_PARTS = [nested, text, retrieval]
+_PARTS = [nested, text, retrieval, resolution]
 
 
 def queries() -> dict:
@@ -18,4 +18,5 @@ def oracle_sql() -> dict:
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return nested.p2_found(spark, d)
+    """Papers to typed claims to evidence coverage by source and type."""
+    return resolution.evidence_coverage(spark, d)
