@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evigraph.plans import nested, resolution, retrieval, text
+from evigraph.plans import events, nested, resolution, retrieval, text
 
-_PARTS = [nested, text, retrieval, resolution]
+_PARTS = [nested, text, retrieval, resolution, events]
 
 
 def queries() -> dict:
