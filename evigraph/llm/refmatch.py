@@ -130,9 +130,9 @@ class Hasher:
             return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
         h = np.array(self.hashes, np.uint64)
         with np.errstate(over="ignore"):
-            table = h[:, None] * self.a[None, :] + self.b[None, :]
-            sig = np.minimum.reduceat(table[np.array(self.features)], np.array(self.starts), axis=0).reshape(-1, BANDS, ROWS)
-            mixed = ((sig ^ (sig >> np.uint64(29))) * self.mix).sum(2, dtype=np.uint64)
+            table = ((h[:, None] * self.a[None, :] + self.b[None, :]) >> np.uint64(32)).astype(np.uint32)
+            sig = np.minimum.reduceat(table[np.array(self.features)], np.array(self.starts), axis=0).reshape(-1, BANDS, ROWS).astype(np.uint64)
+            mixed = (sig * self.mix).sum(2, dtype=np.uint64)
             keys = (mixed ^ (mixed >> np.uint64(32))).view(np.int64)
         out = keys.ravel(), np.repeat(np.array(self.rows, np.int64), BANDS), np.repeat(np.array(self.maps, np.uint64).view(np.int64), BANDS)
         self.features, self.starts, self.rows, self.maps = [], [], [], []
@@ -234,7 +234,7 @@ def _acronym(venue: list[str]) -> str:
 class Reference:
     """A reference's texts, prepared once for all its candidates."""
 
-    def __init__(self, citation: str | None, title: str | None, year: int | None):
+    def __init__(self, citation: str | None, title: str | None, year: int | None, common: frozenset[str]):
         r = fold(title)
         self.title = words(r) if r.strip() else None
         self.title_cut = bool(_CUT.search(r))
@@ -252,7 +252,7 @@ class Reference:
         self.years = [year] if year else [int(y) for y in _YEAR.findall(text)]
         self.early = set(self.words[:14] + self.words[-14:])
         self.all = set(self.words) | set(self.title or ())
-        self.long = [w for w in self.all if len(w) >= 4]
+        self.odd = [w for w in self.all if len(w) >= 4 and w not in common]
 
 
 class Paper:
@@ -273,10 +273,17 @@ def _like(a: str, b: str) -> bool:
     return abs(len(a) - len(b)) < 3 and (a[:2] == b[:2] or a[-3:] == b[-3:]) and same_word(a, b)
 
 
+#: Features of a pair that shares neither a rare word nor an author.
+NOTHING = [5.0, 5.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]
+
+
 def features(paper: Paper, ref: Reference, common: frozenset[str]) -> list[float]:
     """One row of NAMES."""
     t, rare, p_year = paper.words, paper.rare, paper.year
-    seen = not rare or any(w in ref.all for w in rare) or any(_like(w, x) for w in rare for x in ref.long if x not in common)
+    seen = not rare or any(w in ref.all for w in rare) or any(_like(w, x) for w in rare for x in ref.odd)
+    author = any(w in ref.early for w in paper.author)
+    if not seen and not author:
+        return NOTHING
     rows = []
     if seen:
         if ref.title:
@@ -289,7 +296,6 @@ def features(paper: Paper, ref: Reference, common: frozenset[str]) -> list[float
         best = rows[0]
     found = not rare or any(t[i] in rare for i in best[3])
     off = min((abs(y - p_year) for y in ref.years), default=None) if p_year else None
-    author = any(w in ref.early for w in paper.author)
     has_venue = False
     if paper.venue_content and ref.words:
         it = iter(ref.words)
@@ -403,7 +409,7 @@ def match(papers: DataFrame, refs: DataFrame, authors: DataFrame | None = None,
     for r in pairs_of(sample).select(*order).toPandas().itertuples(index=False):
         v = [None if x is None or x != x else x for x in r]
         named = v[1] in identifiers(v[9], v[10], v[11])
-        f = features(Paper(v[2], v[3], v[4], v[5], common), Reference(v[6], v[7], v[8]), common)
+        f = features(Paper(v[2], v[3], v[4], v[5], common), Reference(v[6], v[7], v[8], common), common)
         if named and f[2] < 0.4 and not f[5]:
             continue  # the identifier contradicts the text: no label
         if named and f[5] and not (f[9] or f[10] or f[6]):
@@ -424,7 +430,7 @@ def match(papers: DataFrame, refs: DataFrame, authors: DataFrame | None = None,
             last, ref = None, None
             for v in rows_of(b):
                 if v[0] != last:
-                    last, ref = v[0], Reference(v[6], v[7], v[8])
+                    last, ref = v[0], Reference(v[6], v[7], v[8], shared.value)
                 p = papers_seen.get(v[1])
                 if p is None:
                     if len(papers_seen) > 50_000:
