@@ -88,7 +88,7 @@ def chain_confidence(depth: Column) -> Column:
 
 def is_public_address(ip: Column) -> Column:
     """Whether an IPv4 address lies outside the private and reserved ranges."""
-    n = F.aggregate(F.split(ip, r"\."), F.lit(0).cast("long"), lambda a, b: a * 256 + b.cast("long"))
+    n = F.aggregate(F.split(ip, r"\."), F.lit(0).cast("long"), lambda a, b: a * 256 + F.coalesce(b.try_cast("long"), F.lit(0)))
     #: Reserved ranges as (first address, prefix length).
     blocks = [("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.168.0.0", 16), ("224.0.0.0", 4), ("240.0.0.0", 4)]
     inside = F.lit(False)
