@@ -26,6 +26,7 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -186,8 +187,8 @@ def same_word(a: str, b: str) -> bool:
     n = min(len(a), len(b))
     if n >= 3 and (a.startswith(b) or b.startswith(a)) and abs(len(a) - len(b)) > 2 and max(len(a), len(b)) >= 6:
         return True
-    if n < 3:
-        return False
+    if n < 3 or (a[0] != b[0] and a[-2:] != b[-2:]) or abs(len(a) - len(b)) > 3:
+        return False  # a slip spares a word's beginning or its end
     a, b = a.replace("rn", "m"), b.replace("rn", "m")
     return a == b or _distance(a, b, 1 if n <= 5 else 2) <= (1 if n <= 5 else 2)
 
@@ -227,6 +228,24 @@ def _compare(title: list[str], other: list[str], whole: bool, tail_at: list[int]
     return missing, extra, len(match) / max(1, len(content)), set(match)
 
 
+def _within(title_text: str, title: list[str], text: str, other: list[str], part: list[int] | None) -> tuple | None:
+    """The result of ``_compare`` where the whole title stands in the text word for word; None elsewhere."""
+    at = text.find(title_text) if title else -1
+    if at < 0:
+        return None
+    lo = text.count(" ", 0, at)
+    hi = lo + len(title)
+    end = hi
+    if part is None:
+        lo, end = 0, len(other)
+    else:
+        while end < len(other) and part[end] == part[hi - 1]:
+            end += 1
+    first = text.count(" ", 0, at)
+    extra = sum(1 for j in range(lo, end) if not first <= j < hi and other[j] not in STOP)
+    return 0, extra, 1.0, set(range(len(title))), False
+
+
 def _acronym(venue: list[str]) -> str:
     return "".join(w[0] for w in venue if w not in STOP)
 
@@ -252,7 +271,15 @@ class Reference:
         self.years = [year] if year else [int(y) for y in _YEAR.findall(text)]
         self.early = set(self.words[:14] + self.words[-14:])
         self.all = set(self.words) | set(self.title or ())
-        self.odd = [w for w in self.all if len(w) >= 4 and w not in common]
+        self.common = common
+        self.text = f" {' '.join(self.words)} "
+        self.title_text = f" {' '.join(self.title)} " if self.title else ""
+
+
+    @cached_property
+    def odd(self) -> list[tuple[str, int]]:
+        """Its rare words with their letter pairs; needed only where no rare word of a paper stands in it."""
+        return [(w, _bits(w)) for w in self.all if len(w) >= 4 and w not in self.common]
 
 
 class Paper:
@@ -261,6 +288,8 @@ class Paper:
     def __init__(self, title: str | None, year: int | None, venue: str | None, author: str | None, common: frozenset[str]):
         self.words = words(fold(title))
         self.rare = [w for w in self.words if w not in common and len(w) >= 5]
+        self.bits = [_bits(w) for w in self.rare]
+        self.text = f" {' '.join(self.words)} "
         self.year = year
         self.venue = words(fold(venue))
         self.venue_content = [w for w in self.venue if w not in STOP]
@@ -268,9 +297,9 @@ class Paper:
         self.author = [w for w in words(fold(author)) if len(w) >= 4]
 
 
-def _like(a: str, b: str) -> bool:
-    """Cheap precondition of a slip: a common beginning or end."""
-    return abs(len(a) - len(b)) < 3 and (a[:2] == b[:2] or a[-3:] == b[-3:]) and same_word(a, b)
+def _like(a: str, bits_a: int, b: str, bits_b: int) -> bool:
+    """Whether two rare words are one but for a slip, by their letter pairs first."""
+    return (bits_a & bits_b).bit_count() * 10 >= 6 * bits_a.bit_count() and same_word(a, b)
 
 
 #: Features of a pair that shares neither a rare word nor an author.
@@ -280,16 +309,16 @@ NOTHING = [5.0, 5.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]
 def features(paper: Paper, ref: Reference, common: frozenset[str]) -> list[float]:
     """One row of NAMES."""
     t, rare, p_year = paper.words, paper.rare, paper.year
-    seen = not rare or any(w in ref.all for w in rare) or any(_like(w, x) for w in rare for x in ref.odd)
+    seen = not rare or any(w in ref.all for w in rare) or any(_like(w, n, x, m) for w, n in zip(rare, paper.bits) for x, m in ref.odd)
     author = any(w in ref.early for w in paper.author)
     if not seen and not author:
         return NOTHING
     rows = []
     if seen:
         if ref.title:
-            rows.append(_compare(t, ref.title, True, None, ref.title_cut) + (ref.title_cut,))
-        if ref.words:
-            rows.append(_compare(t, ref.words, False, ref.part, ref.cut) + (ref.cut,))
+            rows.append(_within(paper.text, t, ref.title_text, ref.title, None) or _compare(t, ref.title, True, None, ref.title_cut) + (ref.title_cut,))
+        if ref.words and not (rows and rows[0][0] + rows[0][1] == 0 and not ref.title_cut):  # a full title decides alone
+            rows.append(_within(paper.text, t, ref.text, ref.words, ref.part) or _compare(t, ref.words, False, ref.part, ref.cut) + (ref.cut,))
     no_title = not rows or max(r[2] for r in rows) < 0.4
     best = max(rows, key=lambda r: (-(r[0] + r[1]), r[2], not r[4]), default=(5, 5, 0.0, set(), False))
     if len(rows) == 2 and not rows[0][4] and rows[0][2] >= 0.4 and rows[1][4]:
