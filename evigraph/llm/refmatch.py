@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BANDS, ROWS = 8, 4
+BANDS, ROWS = 7, 4
 COMMON_SHARE, COMMON_LEAST = 0.001, 12
 SAMPLE_REFS = 6_000
 #: Words that carry no content in a title or a citation.
@@ -49,7 +49,7 @@ _CUT = regex.compile(r"…|\[\.\.\.\]|\.\.\.")
 _TAIL_END = regex.compile(r"[.”\"/<(\[]|,”| // ")
 NAMES = ["missing", "extra", "cover", "rare", "cut", "no_title", "year0", "year1", "year_off", "author", "venue", "bare_author_year", "bare_venue"]
 #: Used only where the sample yields too few labels of either kind.
-DEFAULT = np.array([-2.2, -2.2, 3.0, 2.0, -0.3, -1.5, 1.2, 0.4, -0.8, 1.0, 0.3, 2.0, 1.5, -1.0])
+DEFAULT = np.array([-3.5, -3.5, 3.0, 2.0, -0.3, -1.5, 1.2, 0.4, -0.8, 1.0, 0.3, 2.0, 1.5, -1.0])
 
 
 def fold(text: str | None) -> str:
