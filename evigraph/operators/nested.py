@@ -1,7 +1,7 @@
 """Nested protocol records -> related flat tables.
 
 The payload is JSON of several writer versions: names in snake or camel case, a byte-order
-mark, the document encoded once more as a JSON string, a single-key wrapper around it,
+mark, the document encoded once more as a JSON string, wrappers around it,
 ``sections`` as a map, as a list of ``{section, claims}`` or null, a claim list written as one
 object, and a chain written as a list, as ``{"steps": [...]}``, as one step, as a linked list
 through ``next_step`` or as a JSON string of any of these.
@@ -62,15 +62,15 @@ def _unquoted(json: Column) -> Column:
 
 
 def _unwrapped(doc: Column) -> Column:
-    """Descend through single-key wrappers; at most as many as open at the text's start."""
-    lead = F.regexp_extract(doc, r'^(?:\s*\{\s*"(?:[^"\\]|\\.)*"\s*:\s*)+', 0)
+    """Descend through wrappers to the object that has sections or gaps; at most as many as open before the first of these names."""
+    lead = F.regexp_extract(doc, r'(?s)^(.*?)"(?:sections|gaps)"\s*:', 1)
     n = F.length(lead) - F.length(F.replace(lead, F.lit("{"), F.lit("")))
 
     def down(s: Column, i: Column) -> Column:
         m = F.from_json(s, "map<string,string>")
         known = F.map_contains_key(m, "sections") | F.map_contains_key(m, "gaps")
-        inner = F.element_at(F.map_values(m), 1)
-        return F.when(~known & (F.size(m) == 1) & F.ltrim(inner).startswith("{"), inner).otherwise(s)
+        inner = F.try_element_at(F.filter(F.map_values(m), lambda v: F.ltrim(v).startswith("{") & v.rlike(r'"(?:sections|gaps)"\s*:')), F.lit(1))
+        return F.when(~known & inner.isNotNull(), inner).otherwise(s)
 
     return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.coalesce(n, F.lit(1)))), doc, down)
 

@@ -163,6 +163,7 @@ def protocol(chain, **more):
         (protocol([{"source_paper_id": "s", "sentence_ids": [1, "2", None]}, {"sourcePaperId": "t"}]), {("claim", "c", 0, "s", 1), ("claim", "c", 0, "s", 2), ("claim", "c", 1, "t", -1)}),
         (json.dumps(protocol({"source_paper_id": "s", "sentence_ids": 4, "next_step": {"source_paper_id": "u", "sentence_ids": []}})), {("claim", "c", 0, "s", 4), ("claim", "c", 1, "u", -1)}),
         (json.dumps({"result": json.loads(protocol({"steps": [{"source_paper_id": "s", "sentence_ids": [3]}]}))}), {("claim", "c", 0, "s", 3)}),
+        (json.dumps({"status": "ok", "n": 1, "data": {"protocol": json.loads(protocol([]))}}), {("claim", "c", -1, "", -1)}),
         ("﻿" + protocol(json.dumps([{"source_paper_id": "s", "sentence_ids": [0]}])), {("claim", "c", 0, "s", 0)}),
         (json.dumps({"sections": [{"section": "a", "claims": {"claimId": "k"}}], "gaps": [{"claim_id": "g", "chain_trace": [{"source_paper_id": "z"}]}]}), {("claim", "k", -1, "", -1), ("gap", "g", 0, "z", -1)}),
     ],
