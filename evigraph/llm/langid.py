@@ -6,6 +6,9 @@ unknown codes count as missing. The text decides where it says something clearly
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import regex
 
 #: Three-letter codes and function words that tell the Latin-script languages apart.
@@ -17,10 +20,7 @@ WORDS = {
     "fr": "le la les des du ont été et avec au dans une sont sur pour été à".split(),
     "es": "el los las se del en la y con fue según por una antes como veces".split(),
 }
-_WORD_LANGS: dict[str, list[str]] = {}
-for _l, _ws in WORDS.items():
-    for _w in _ws:
-        _WORD_LANGS.setdefault(_w, []).append(_l)
+_BEYOND = re.compile(r"[Ѐ-ӿऀ-ॿ฀-๿぀-ヿ㐀-鿿豈-﫿]")
 _RUNS = {
     "kana": regex.compile(r"[\p{Hiragana}\p{Katakana}]+"),
     "zh": regex.compile(r"\p{Han}+"),
@@ -28,7 +28,7 @@ _RUNS = {
     "hi": regex.compile(r"\p{Devanagari}+"),
     "th": regex.compile(r"\p{Thai}+"),
 }
-_WORD = regex.compile(r"\p{L}+")
+_WORD = re.compile(r"[a-zà-ɏ]+")
 
 
 def canonical_lang(code: str | None) -> str | None:
@@ -46,20 +46,18 @@ def detect(text: str | None, stated: str | None = None) -> str:
     if not text or not text.strip():
         return said or "und"
     size = {k: 0 for k in _RUNS}
-    if not text.isascii():
+    if not text.isascii() and _BEYOND.search(text):
         for k, r in _RUNS.items():
             size[k] = sum(map(len, r.findall(text)))
     east = size["kana"] + size["zh"]
     other = {"ja" if size["kana"] * 20 > east else "zh": east * 3, "ru": size["ru"], "hi": size["hi"], "th": size["th"]}
     best = max(other, key=other.__getitem__)
     words = _WORD.findall(text.lower())
-    latin = sum(len(w) for w in words if w[0] < "ɐ")
+    latin = sum(map(len, words))
     if other[best] and other[best] * 2 >= latin:
         return best
-    score = dict.fromkeys(WORDS, 0)
-    for w in words:
-        for l in _WORD_LANGS.get(w, ()):
-            score[l] += 1
+    count = Counter(words)
+    score = {l: sum(count[w] for w in ws) for l, ws in WORDS.items()}
     top = sorted(score.items(), key=lambda x: -x[1])
     if top[0][1] >= 2 and top[0][1] > 1.5 * top[1][1]:
         return top[0][0]

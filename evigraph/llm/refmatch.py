@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BANDS, ROWS = 7, 4
+BANDS, ROWS = 10, 4
 COMMON_SHARE, COMMON_LEAST = 0.001, 12
 SAMPLE_REFS = 6_000
 #: Words that carry no content in a title or a citation.
@@ -46,6 +46,7 @@ _TOKEN = re.compile(r"[^\W_]+")
 _ACCENTS = regex.compile(r"\p{Mn}+")
 _YEAR = regex.compile(r"(?<!\d)(?:19|20)\d\d(?!\d)")
 _CUT = regex.compile(r"…|\[\.\.\.\]|\.\.\.")
+_TAIL_MARKS = set('.”"/<([')
 _TAIL_END = regex.compile(r"[.”\"/<(\[]|,”| // ")
 NAMES = ["missing", "extra", "cover", "rare", "cut", "no_title", "year0", "year1", "year_off", "author", "venue", "bare_author_year", "bare_venue"]
 #: Used only where the sample yields too few labels of either kind.
@@ -76,6 +77,10 @@ def _bits(word: str) -> int:
     return out
 
 
+def _deletions(word: str) -> set[str]:
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
 class Hasher:
     """MinHash of (rare word, context words), for a batch at a time; minima of features are kept in a table."""
 
@@ -85,6 +90,8 @@ class Hasher:
         self.b = rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
         self.mix = rng.integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
         self.common = common
+        self.slips = {v: w for w in sorted(common) if len(w) > 4 for v in _deletions(w)}
+        self.mended: dict[str, str] = {}
         self.reset()
 
     def reset(self) -> None:
@@ -102,9 +109,23 @@ class Hasher:
             self.hashes.append(xxhash.xxh64_intdigest(text))
         return n
 
+    def mend(self, token: str) -> str:
+        """A common word with one slip as that word; any other token as it is."""
+        got = self.mended.get(token)
+        if got is None:
+            if len(self.mended) > 200_000:
+                self.mended.clear()
+            got = token
+            if len(token) > 3 and token not in self.common and not token.isdigit():
+                near = {self.slips[v] for v in _deletions(token) if v in self.slips}
+                got = next((w for w in sorted(near) if _distance(w, token, 1) <= 1), token)
+            self.mended[token] = got
+        return got
+
     def add_title(self, row: int, tokens: list[str], near: bool) -> int:
         """Post a row's rare words; with ``near`` only those beside a common word (citations hold names, too)."""
         common, feature, posted = self.common, self._feature, 0
+        tokens = [t if t in common else self.mend(t) for t in tokens]
         context = None
         for i, t in enumerate(tokens):
             if len(t) < 5 or t in common or t.isdigit():
@@ -257,24 +278,46 @@ class Reference:
         r = fold(title)
         self.title = words(r) if r.strip() else None
         self.title_cut = bool(_CUT.search(r))
-        text = fold(citation)
-        self.words: list[str] = []
-        self.part: list[int] = []  # number of the stretch between title-ending marks
-        k = prev = 0
-        for m in _TOKEN.finditer(text):
-            if self.words and _TAIL_END.search(text, prev, m.start()):
+        self.folded = fold(citation)
+        self.words = words(self.folded)
+        self.year = year
+        self.all = {*self.words, *(self.title or ())}
+        self.common = common
+
+    # what only promising candidates need
+
+    @cached_property
+    def part(self) -> list[int]:
+        """Number of the stretch between title-ending marks in which each word stands."""
+        out, k, prev = [], 0, -1
+        for m in _TOKEN.finditer(self.folded):
+            if prev >= 0 and m.start() - prev > 1 and _TAIL_END.search(self.folded, prev, m.start()):
+                k += 1
+            elif prev >= 0 and m.start() - prev == 1 and self.folded[prev] in _TAIL_MARKS:
                 k += 1
-            self.words.append(m.group())
-            self.part.append(k)
+            out.append(k)
             prev = m.end()
-        self.cut = bool(_CUT.search(text))
-        self.years = [year] if year else [int(y) for y in _YEAR.findall(text)]
-        self.early = set(self.words[:14] + self.words[-14:])
-        self.all = set(self.words) | set(self.title or ())
-        self.common = common
-        self.text = f" {' '.join(self.words)} "
-        self.title_text = f" {' '.join(self.title)} " if self.title else ""
+        return out
+
+    @cached_property
+    def cut(self) -> bool:
+        return bool(_CUT.search(self.folded))
+
+    @cached_property
+    def years(self) -> list[int]:
+        return [self.year] if self.year else [int(y) for y in _YEAR.findall(self.folded)]
 
+    @cached_property
+    def early(self) -> set[str]:
+        return set(self.words[:14] + self.words[-14:])
+
+    @cached_property
+    def text(self) -> str:
+        return f" {' '.join(self.words)} "
+
+    @cached_property
+    def title_text(self) -> str:
+        return f" {' '.join(self.title)} " if self.title else ""
 
     @cached_property
     def odd(self) -> list[tuple[str, int]]:
