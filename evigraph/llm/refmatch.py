@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BANDS, ROWS = 10, 4
+BANDS, ROWS = 8, 4
 COMMON_SHARE, COMMON_LEAST = 0.001, 12
 SAMPLE_REFS = 6_000
 #: Words that carry no content in a title or a citation.
@@ -48,9 +48,9 @@ _YEAR = regex.compile(r"(?<!\d)(?:19|20)\d\d(?!\d)")
 _CUT = regex.compile(r"…|\[\.\.\.\]|\.\.\.")
 _TAIL_MARKS = set('.”"/<([')
 _TAIL_END = regex.compile(r"[.”\"/<(\[]|,”| // ")
-NAMES = ["missing", "extra", "cover", "rare", "cut", "no_title", "year0", "year1", "year_off", "author", "venue", "bare_author_year", "bare_venue"]
+NAMES = ["missing", "extra", "cover", "rare", "cut", "no_title", "year0", "year1", "year_off", "author", "authors", "venue", "bare_author_year", "bare_venue"]
 #: Used only where the sample yields too few labels of either kind.
-DEFAULT = np.array([-3.5, -3.5, 3.0, 2.0, -0.3, -1.5, 1.2, 0.4, -0.8, 1.0, 0.3, 2.0, 1.5, -1.0])
+DEFAULT = np.array([-3.5, -3.5, 3.0, 2.0, -0.3, -3.0, 1.2, 0.4, -0.8, 1.0, 1.0, 0.3, 1.5, 2.5, -1.0])
 
 
 def fold(text: str | None) -> str:
@@ -271,6 +271,10 @@ def _acronym(venue: list[str]) -> str:
     return "".join(w[0] for w in venue if w not in STOP)
 
 
+def is_bare(tokens: list[str], common: frozenset[str]) -> bool:
+    return sum(t in common and t not in STOP for t in tokens) < 4
+
+
 class Reference:
     """A reference's texts, prepared once for all its candidates."""
 
@@ -299,6 +303,11 @@ class Reference:
             prev = m.end()
         return out
 
+    @cached_property
+    def bare(self) -> bool:
+        """Whether it names no title: none given, and hardly a common title word in the citation."""
+        return not self.title and is_bare(self.words, self.common)
+
     @cached_property
     def cut(self) -> bool:
         return bool(_CUT.search(self.folded))
@@ -337,7 +346,9 @@ class Paper:
         self.venue = words(fold(venue))
         self.venue_content = [w for w in self.venue if w not in STOP]
         self.acronym = _acronym(self.venue)
-        self.author = [w for w in words(fold(author)) if len(w) >= 4]
+        names = (author or "").split(";")  # in order
+        self.author = [w for w in words(fold(names[0])) if len(w) >= 4]
+        self.others = [w for n in names[1:] for w in words(fold(n)) if len(w) >= 4]
 
 
 def _like(a: str, bits_a: int, b: str, bits_b: int) -> bool:
@@ -346,7 +357,7 @@ def _like(a: str, bits_a: int, b: str, bits_b: int) -> bool:
 
 
 #: Features of a pair that shares neither a rare word nor an author.
-NOTHING = [5.0, 5.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]
+NOTHING = [5.0, 5.0] + [0.0] * 12
 
 
 def features(paper: Paper, ref: Reference, common: frozenset[str]) -> list[float]:
@@ -354,7 +365,8 @@ def features(paper: Paper, ref: Reference, common: frozenset[str]) -> list[float
     t, rare, p_year = paper.words, paper.rare, paper.year
     seen = not rare or any(w in ref.all for w in rare) or any(_like(w, n, x, m) for w, n in zip(rare, paper.bits) for x, m in ref.odd)
     author = any(w in ref.early for w in paper.author)
-    if not seen and not author:
+    coauthor = any(w in ref.early for w in paper.others)
+    if not seen and not author and not coauthor:
         return NOTHING
     rows = []
     if seen:
@@ -362,18 +374,20 @@ def features(paper: Paper, ref: Reference, common: frozenset[str]) -> list[float
             rows.append(_within(paper.text, t, ref.title_text, ref.title, None) or _compare(t, ref.title, True, None, ref.title_cut) + (ref.title_cut,))
         if ref.words and not (rows and rows[0][0] + rows[0][1] == 0 and not ref.title_cut):  # a full title decides alone
             rows.append(_within(paper.text, t, ref.text, ref.words, ref.part) or _compare(t, ref.words, False, ref.part, ref.cut) + (ref.cut,))
-    no_title = not rows or max(r[2] for r in rows) < 0.4
+    no_title = ref.bare and (not rows or max(r[2] for r in rows) < 0.4)
     best = max(rows, key=lambda r: (-(r[0] + r[1]), r[2], not r[4]), default=(5, 5, 0.0, set(), False))
     if len(rows) == 2 and not rows[0][4] and rows[0][2] >= 0.4 and rows[1][4]:
         best = rows[0]
-    found = not rare or any(t[i] in rare for i in best[3])
+    if no_title:  # nothing to compare: authors, year and venue decide
+        best = (0, 0, 0.0, set(), False)
+    found = not no_title and (not rare or any(t[i] in rare for i in best[3]))
     off = min((abs(y - p_year) for y in ref.years), default=None) if p_year else None
     has_venue = False
     if paper.venue_content and ref.words:
         it = iter(ref.words)
         has_venue = paper.acronym in ref.early or all(any(len(x) >= 3 and w.startswith(x[: max(3, len(x) - 1)]) for x in it) for w in paper.venue_content)
     y0, y1 = off == 0, off == 1
-    return [float(x) for x in (min(best[0], 5), min(best[1], 5), best[2], found, best[4], no_title, y0, y1, off is not None and off > 1, author, has_venue, no_title and author and y0, no_title and has_venue)]
+    return [float(x) for x in (min(best[0], 5), min(best[1], 5), best[2], found, best[4], no_title, y0, y1, off is not None and off > 1, author, coauthor, has_venue, no_title and (author or coauthor) and y0, no_title and has_venue and y0)]
 
 
 def fit(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1.0) -> np.ndarray:
@@ -412,10 +426,11 @@ def match(papers: DataFrame, refs: DataFrame, authors: DataFrame | None = None,
     spark = papers.sparkSession
     titled = papers.select("paper_id", "title", F.col("pub_year").alias("p_year"), "venue").filter(F.col("paper_id").isNotNull())
     if authors is not None:
-        first = authors.filter("author_pos = 0 and author_name is not null").groupBy("paper_id").agg(F.min("author_name").alias("first_author"))
+        named = authors.filter("author_name is not null").groupBy("paper_id").agg(F.array_sort(F.collect_set(F.struct("author_pos", F.replace("author_name", F.lit(";"), F.lit(" ")).alias("n")))).alias("a"))
+        first = named.select("paper_id", F.array_join(F.transform("a", lambda x: x["n"]), ";").alias("author_names"))
         titled = titled.join(first, "paper_id", "left")
     else:
-        titled = titled.withColumn("first_author", F.lit(None).cast("string"))
+        titled = titled.withColumn("author_names", F.lit(None).cast("string"))
     # words of many titles: at most (words per title) / COMMON_SHARE of them exist
     plain = F.lower(F.regexp_replace(F.coalesce("title", F.lit("")), "[β]", "beta"))
     counts = titled.select(F.explode(F.array_distinct(F.regexp_extract_all(plain, F.lit("[a-z0-9]+"), F.lit(0)))).alias("w")).groupBy("w").count()
@@ -452,7 +467,7 @@ def match(papers: DataFrame, refs: DataFrame, authors: DataFrame | None = None,
                     text = fold(citation)
                     tokens = words(text)
                     n += h.add_title(i, tokens, True)
-                    if not title and sum(t in h.common and t not in STOP for t in tokens) < 4:
+                    if not title and is_bare(tokens, h.common):
                         for y in {year} if year else set(_YEAR.findall(text)):
                             extra += [(_key(f"{w}|{y}"), i) for w in set(tokens[:10]) if len(w) >= 4 and w not in h.common and not w.isdigit()]
                 if doi or arxiv or pmc or citation and "10." in citation:
@@ -471,7 +486,7 @@ def match(papers: DataFrame, refs: DataFrame, authors: DataFrame | None = None,
         pairs = posted.join(p_keys, "key").filter(alike).select("ref_row_id", "paper_no").distinct()
         return pairs.join(described, "paper_no").drop("paper_no").join(some, "ref_row_id")
 
-    order = ["ref_row_id", "paper_id", "title", "p_year", "venue", "first_author", "raw_citation", "r_title", "r_year", "doi", "arxiv_id", "pmc_id"]
+    order = ["ref_row_id", "paper_id", "title", "p_year", "venue", "author_names", "raw_citation", "r_title", "r_year", "doi", "arxiv_id", "pmc_id"]
 
     def rows_of(b: pa.RecordBatch) -> Iterator[tuple]:
         return zip(*(c.to_pylist() for c in b.columns))
@@ -484,12 +499,12 @@ def match(papers: DataFrame, refs: DataFrame, authors: DataFrame | None = None,
         f = features(Paper(v[2], v[3], v[4], v[5], common), Reference(v[6], v[7], v[8], common), common)
         if named and f[2] < 0.4 and not f[5]:
             continue  # the identifier contradicts the text: no label
-        if named and f[5] and not (f[9] or f[10] or f[6]):
+        if named and f[5] and not ((f[9] or f[10]) and (f[6] or f[7])):
             continue
         if not named and f[0] + f[1] == 0 and f[5] == 0:
             continue  # an identifier may be wrong
         xs.append(f)
-        ys.append(float(named and f[0] + f[1] < 4))
+        ys.append(float(named and (bool(f[5]) or f[0] + f[1] < 4)))
         folds.append(v[0] % 2)
     model = train(np.array(xs), np.array(ys), np.array(folds)) if len(xs) > 80 else (DEFAULT, 1.0, 0.0)
     learned = spark.sparkContext.broadcast(model)
@@ -510,7 +525,7 @@ def match(papers: DataFrame, refs: DataFrame, authors: DataFrame | None = None,
                     p = papers_seen[v[1]] = Paper(v[2], v[3], v[4], v[5], shared.value)
                 f = features(p, ref, shared.value)
                 z = slope * (float(np.dot(f, w[:-1])) + float(w[-1])) + constant
-                if v[1] in identifiers(v[9], v[10], v[11]) and (f[2] >= 0.6 and f[0] + f[1] <= 2 or f[5] and (f[6] or f[7] or f[9] or not (v[6] or "").strip())):
+                if v[1] in identifiers(v[9], v[10], v[11]) and (f[2] >= 0.6 and f[0] + f[1] <= 2 or f[5] and (f[6] or f[7] or f[9] or f[10] or not (v[6] or "").strip())):
                     z += 3.0
                 rid.append(v[0])
                 pid.append(v[1])

@@ -117,7 +117,7 @@ def test_references_against_expectation(spark):
 
 def test_training_learns_and_calibrates():
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(400, 13))
+    x = rng.normal(size=(400, 14))
     y = (x[:, 0] > 0).astype(float)
     w, slope, _ = refmatch.train(x, y, np.arange(400) % 2)
     z = slope * (x @ w[:-1] + w[-1])
