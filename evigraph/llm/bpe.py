@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the split pattern published with the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same language with the frequent alternatives first: no letter or digit can start a contraction, so the order is free.
+_FAST = r" ?\p{L}++| ?\p{N}++|'(?:s|t|re|ve|m|ll|d)| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"
 #: Bounds on the tables of one worker; beyond them they are emptied and filled anew.
 MAX_STATES, MAX_PIECES = 200_000, 400_000
 
@@ -64,7 +66,7 @@ class Transducer:
         self.longest = max(map(len, self.ids))
         self.pairs: dict[tuple[int, int], bool] = {}
         self.alone: dict[int, bool] = {}
-        self.split = regex.compile(PATTERN).findall
+        self.split = regex.compile(_FAST).findall
         self.pieces: dict[str, tuple[int, ...]] = {}
         self._clear()
 
@@ -167,7 +169,7 @@ class Transducer:
         if not text:
             return 0
         get = self.pieces.get
-        return sum(len(get(p) or self._piece(p)) for p in self.split(text))
+        return sum([len(get(p) or self._piece(p)) for p in self.split(text)])
 
     def decode(self, ids: Iterable[int]) -> str:
         """Text of a stream of ids; malformed bytes give U+FFFD. Unknown ids are an error."""
