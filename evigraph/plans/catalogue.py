@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evigraph.plans import events, nested, parsing, resolution, retrieval, text
+from evigraph.plans import api, events, nested, parsing, resolution, retrieval, text
 
-_PARTS = [nested, text, retrieval, resolution, events, parsing]
+_PARTS = [nested, text, retrieval, resolution, events, parsing, api]
 
 
 def queries() -> dict:
