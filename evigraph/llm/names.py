@@ -287,20 +287,43 @@ def _placed(items: list[Profile]) -> Iterator[tuple[int, int]]:
             yield from _resolve([items[i] for i in members])
 
 
+def _first_two(p: Profile, candidates: Iterator[Profile]) -> list[Profile]:
+    """At most two profiles that p may be: one is a match, two are too many."""
+    out: list[Profile] = []
+    for q in candidates:
+        if q.cid not in {x.cid for x in out} and p.may_be(q):
+            out.append(q)
+            if len(out) == 2:
+                break
+    return out
+
+
 def _unplaced(items: list[Profile]) -> Iterator[tuple[int, int]]:
-    """Links of profiles without affiliation to the only profile of that name, or to each other."""
+    """Links of profiles without affiliation to the only profile of that name, or to each other.
+
+    Spelt-out names are looked up by their one-deletion variants, and a search ends at the second
+    fit; a profile with an ORCID can only join those without, equal ORCIDs having met elsewhere.
+    """
     bare = [p for p in items if not p.affs]
     if not bare:
         return
     rest = [p for p in items if p.affs]
+    free = [q for q in rest if not q.orcids]
+    by_given: dict[str, list[Profile]] = defaultdict(list)
+    for q in rest:
+        for v in {v for g in q.givens for x in full_givens(g) for v in _variants(x)}:
+            by_given[v].append(q)
     left = []
     for p in bare:
-        fits = [q for q in rest if p.may_be(q)]
-        spelt = [q for q in fits if p.givens and q.givens]
-        one = spelt if spelt else fits
+        pool = free if p.orcids else rest
+        spelt: list[Profile] = []
+        if p.givens:
+            keys = {v for g in p.givens for x in full_givens(g) for v in _variants(x)}
+            spelt = _first_two(p, (q for v in keys for q in by_given.get(v, ()) if not (p.orcids and q.orcids)))
+        one = spelt or _first_two(p, (q for q in pool if not (p.givens and q.givens)))
         if len(one) == 1:
             yield (one[0].cid, p.cid)
-        elif not fits:
+        elif not one:
             left.append(p)
     yield from _resolve(left)
 

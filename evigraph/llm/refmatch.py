@@ -335,20 +335,33 @@ class Reference:
 
 
 class Paper:
-    """A paper's attributes, prepared once for all its candidates."""
+    """A paper's attributes, prepared once for all its candidates; most of them only when needed."""
 
-    def __init__(self, title: str | None, year: int | None, venue: str | None, author: str | None, common: frozenset[str]):
+    def __init__(self, title: str | None, year: int | None, venue: str | None, authors: str | None, common: frozenset[str]):
         self.words = words(fold(title))
-        self.rare = [w for w in self.words if w not in common and len(w) >= 5]
-        self.bits = [_bits(w) for w in self.rare]
-        self.text = f" {' '.join(self.words)} "
+        self.rare = [w for w in self.words if len(w) >= 5 and w not in common]
         self.year = year
-        self.venue = words(fold(venue))
-        self.venue_content = [w for w in self.venue if w not in STOP]
-        self.acronym = _acronym(self.venue)
-        names = (author or "").split(";")  # in order
-        self.author = [w for w in words(fold(names[0])) if len(w) >= 4]
-        self.others = [w for n in names[1:] for w in words(fold(n)) if len(w) >= 4]
+        self._venue, self._authors = venue, authors
+
+    @cached_property
+    def bits(self) -> list[int]:
+        return [_bits(w) for w in self.rare]
+
+    @cached_property
+    def text(self) -> str:
+        return f" {' '.join(self.words)} "
+
+    @cached_property
+    def venue(self) -> tuple[str, list[str]]:
+        """(initials, content words)."""
+        v = words(fold(self._venue))
+        return _acronym(v), [w for w in v if w not in STOP]
+
+    @cached_property
+    def authors(self) -> tuple[list[str], list[str]]:
+        """Name words of the first author and of the others."""
+        names = (self._authors or "").split(";")
+        return [w for w in words(fold(names[0])) if len(w) >= 4], [w for n in names[1:] for w in words(fold(n)) if len(w) >= 4]
 
 
 def _like(a: str, bits_a: int, b: str, bits_b: int) -> bool:
@@ -356,7 +369,7 @@ def _like(a: str, bits_a: int, b: str, bits_b: int) -> bool:
     return (bits_a & bits_b).bit_count() * 10 >= 6 * bits_a.bit_count() and same_word(a, b)
 
 
-#: Features of a pair that shares neither a rare word nor an author.
+#: Features of a pair without a rare word in common, where the reference names a title.
 NOTHING = [5.0, 5.0] + [0.0] * 12
 
 
@@ -364,10 +377,10 @@ def features(paper: Paper, ref: Reference, common: frozenset[str]) -> list[float
     """One row of NAMES."""
     t, rare, p_year = paper.words, paper.rare, paper.year
     seen = not rare or any(w in ref.all for w in rare) or any(_like(w, n, x, m) for w, n in zip(rare, paper.bits) for x, m in ref.odd)
-    author = any(w in ref.early for w in paper.author)
-    coauthor = any(w in ref.early for w in paper.others)
-    if not seen and not author and not coauthor:
+    if not seen and not ref.bare:
         return NOTHING
+    first, others = paper.authors
+    author, coauthor = any(w in ref.early for w in first), any(w in ref.early for w in others)
     rows = []
     if seen:
         if ref.title:
@@ -383,9 +396,10 @@ def features(paper: Paper, ref: Reference, common: frozenset[str]) -> list[float
     found = not no_title and (not rare or any(t[i] in rare for i in best[3]))
     off = min((abs(y - p_year) for y in ref.years), default=None) if p_year else None
     has_venue = False
-    if paper.venue_content and ref.words:
+    initials, content = paper.venue
+    if content and ref.words:
         it = iter(ref.words)
-        has_venue = paper.acronym in ref.early or all(any(len(x) >= 3 and w.startswith(x[: max(3, len(x) - 1)]) for x in it) for w in paper.venue_content)
+        has_venue = initials in ref.early or all(any(len(x) >= 3 and w.startswith(x[: max(3, len(x) - 1)]) for x in it) for w in content)
     y0, y1 = off == 0, off == 1
     return [float(x) for x in (min(best[0], 5), min(best[1], 5), best[2], found, best[4], no_title, y0, y1, off is not None and off > 1, author, coauthor, has_venue, no_title and (author or coauthor) and y0, no_title and has_venue and y0)]
 
