@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evigraph.operators import analytics, citations, nested, resolve, score, store
 from evigraph.plans.text import PAPER_CLAIMS, PAPERS_SQL, UUID_SQL, WS, norm_sql, paper_claims, paper_sentences, papers
+from evigraph.session import checkpoint
 from evigraph.sources import latest_rows, read_table
 
 REFS_SQL = "SELECT DISTINCT ON (ref_row_id) * FROM paper_refs"
@@ -146,7 +147,8 @@ def weighted_coverage(spark: SparkSession, d: str) -> DataFrame:
 def section_assembly(spark: SparkSession, d: str) -> DataFrame:
     """Claims in sections; claims that name a temperature are proposed for a section of their own first."""
     c = paper_claims(spark, d).withColumn("resolution_status", F.when(F.col("specificity") == "shortcut_citation", "terminal_gap").otherwise(F.col("resolution_status")))
-    p = c.filter(F.contains("raw_text", F.lit("°C"))).select("paper_id", "claim_id", F.lit("temperatures").alias("section"), F.lit(0).alias("s_no"), F.col("raw_sentence_id").alias("i_no"))
+    c = checkpoint(c.select("paper_id", "claim_id", "raw_sentence_id", "type", "resolution_status", F.contains("raw_text", F.lit("°C")).alias("hot")))
+    p = c.filter("hot").select("paper_id", "claim_id", F.lit("temperatures").alias("section"), F.lit(0).alias("s_no"), F.col("raw_sentence_id").alias("i_no"))
     return score.assemble(c, p).join(c.select("claim_id", "raw_sentence_id").distinct(), "claim_id").select("paper_id", "section", "pos", "raw_sentence_id")
 
 
@@ -238,7 +240,7 @@ def pathway_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def _runs(spark: SparkSession, d: str) -> DataFrame:
     """Three runs a paper: as extracted; without claims that hold no digit; with bracketed claims read as full."""
-    c = paper_claims(spark, d).select("paper_id", "raw_text", "type", "specificity", "resolution_status", F.col("raw_sentence_id").alias("pos"))
+    c = checkpoint(paper_claims(spark, d).select("paper_id", "raw_text", "type", "specificity", "resolution_status", F.col("raw_sentence_id").alias("pos")))
     b = c.filter(F.col("raw_text").rlike("[0-9]"))
     e = c.withColumn("specificity", F.when(F.contains("raw_text", F.lit("(")), "fully_described").otherwise(F.col("specificity")))
     return c.withColumn("run", F.lit(0)).unionByName(b.withColumn("run", F.lit(1))).unionByName(e.withColumn("run", F.lit(2)))

@@ -51,6 +51,15 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Input of fewer partitions than cores, spread over all of them before a CPU-bound Python stage.
+
+    Such an input is a few small files; anything larger stays as it is read, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 _SHIPPED: set[str] = set()
 
 
