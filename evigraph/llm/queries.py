@@ -16,6 +16,7 @@ from evigraph.llm.refmatch import match
 from evigraph.llm.sentences import sentence_units
 from evigraph.llm.split import split_long
 from evigraph.llm.token_budget import canonical_source, document_tokens, roll_up
+from evigraph.session import spread
 from evigraph.sources import latest_rows, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,7 +43,7 @@ def p4_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Tokens per source and language of papers, and per source, language and domain of documents."""
     p = _papers(spark, d, "methods_text", "lang", "source").withColumn("source", canonical_source(F.col("source")))
     a = roll_up(document_tokens(p, "paper_id", "methods_text", ("source",), "lang"), "source", "lang")
-    t = read_table(spark, d, "documents").select("doc_id", "text", "lang", canonical_source(F.col("source")).alias("source"), F.coalesce("domain", F.lit("unknown")).alias("domain"))
+    t = spread(read_table(spark, d, "documents")).select("doc_id", "text", "lang", canonical_source(F.col("source")).alias("source"), F.coalesce("domain", F.lit("unknown")).alias("domain"))
     b = roll_up(document_tokens(t, "doc_id", "text", ("source", "domain"), "lang"), "source", "lang", "domain")
     cols = ["of_table", "source", "lang", "domain", "n_docs", "n_usable_docs", "n_tokens"]
     return a.withColumns({"of_table": F.lit("papers"), "domain": F.lit("")}).select(*cols).unionByName(b.withColumn("of_table", F.lit("documents")).select(*cols))
