@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BANDS, ROWS = 8, 4
+BANDS, ROWS = 7, 4
 COMMON_SHARE, COMMON_LEAST = 0.001, 12
 SAMPLE_REFS = 6_000
 #: Words that carry no content in a title or a citation.
@@ -118,7 +118,7 @@ class Hasher:
             got = token
             if len(token) > 3 and token not in self.common and not token.isdigit():
                 near = {self.slips[v] for v in _deletions(token) if v in self.slips}
-                got = next((w for w in sorted(near) if _distance(w, token, 1) <= 1), token)
+                got = next((w for w in sorted(near) if one_slip(w, token)), token)
             self.mended[token] = got
         return got
 
@@ -199,6 +199,21 @@ def _distance(a: str, b: str, most: int) -> int:
     return row[-1]
 
 
+def one_slip(a: str, b: str) -> bool:
+    """Equal but for one letter more, fewer or other, or two swapped."""
+    n = min(len(a), len(b))
+    if abs(len(a) - len(b)) > 1:
+        return False
+    p = 0
+    while p < n and a[p] == b[p]:
+        p += 1
+    s = 0
+    while s < n - p and a[-1 - s] == b[-1 - s]:
+        s += 1
+    x, y = len(a) - p - s, len(b) - p - s
+    return max(x, y) <= 1 or (x == y == 2 and a[p] == b[p + 1] and a[p + 1] == b[p])
+
+
 def same_word(a: str, b: str) -> bool:
     """Equal but for a slip, or one the other's abbreviation. Numbers and numerals must be equal."""
     if a == b:
@@ -211,7 +226,7 @@ def same_word(a: str, b: str) -> bool:
     if n < 3 or (a[0] != b[0] and a[-2:] != b[-2:]) or abs(len(a) - len(b)) > 3:
         return False  # a slip spares a word's beginning or its end
     a, b = a.replace("rn", "m"), b.replace("rn", "m")
-    return a == b or _distance(a, b, 1 if n <= 5 else 2) <= (1 if n <= 5 else 2)
+    return one_slip(a, b) or (n > 5 and _distance(a, b, 2) <= 2)
 
 
 def _compare(title: list[str], other: list[str], whole: bool, tail_at: list[int] | None, cut: bool) -> tuple[int, int, float, set[int]]:
@@ -366,7 +381,7 @@ class Paper:
 
 def _like(a: str, bits_a: int, b: str, bits_b: int) -> bool:
     """Whether two rare words are one but for a slip, by their letter pairs first."""
-    return (bits_a & bits_b).bit_count() * 10 >= 6 * bits_a.bit_count() and same_word(a, b)
+    return (bits_a & bits_b).bit_count() * 10 >= 6 * bits_a.bit_count() and (one_slip(a, b) or one_slip(a.replace("rn", "m"), b.replace("rn", "m")))
 
 
 #: Features of a pair without a rare word in common, where the reference names a title.
