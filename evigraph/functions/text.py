@@ -122,5 +122,7 @@ def author_year(ident: Column, author: Column, year: Column) -> Column:
 
 def fold_print(c: Column) -> Column:
     """HTML-escaped text with typographic characters folded for print."""
-    t = F.translate(c, "‐‑‒–—‘’“”\u00a0", "-----''\"\" ")
-    return F.replace(F.replace(F.replace(t, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    t = F.translate(c, "\u00b5\u03bc\u00d7\u2212\u2013\u2014\u2018\u2019\u201c\u201d", "uux---''\"\"")
+    for raw, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        t = F.replace(t, F.lit(raw), F.lit(escaped))
+    return t

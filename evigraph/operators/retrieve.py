@@ -7,13 +7,15 @@ Scale: postings join query terms on the term; very frequent terms are the skew,
 Paper-scoped vector search joins on the paper, so its work is bounded by the scope; corpus-wide
 search runs stated queries against all rows in blocks (one matrix product per batch).
 
+The default analyzer keeps lower-case words as they are; ``functions.stem.english_terms`` stems them.
+
 Nulls: a null text has no terms; rows without a vector, or with one of another size or all zero,
 are not searched.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,26 +30,24 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def postings(docs: DataFrame, id_cols: list[str], text_col: str) -> DataFrame:
-    """(ids..., term, tf, dl) of every document."""
-    t = docs.select(*id_cols, terms(F.col(text_col)).alias("_t"))
+def postings(docs: DataFrame, id_cols: list[str], text_col: str, analyze: Callable[[Column], Column] = terms) -> DataFrame:
+    """(ids..., term, tf, dl) of every document; ``analyze`` makes terms of a text."""
+    t = docs.select(*id_cols, analyze(F.col(text_col)).alias("_t"))
     return t.select(*id_cols, F.size("_t").alias("dl"), F.explode("_t").alias("term")).groupBy(*id_cols, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(docs: DataFrame, id_cols: list[str], text_col: str, queries: DataFrame, query_id: str, query_col: str, top_k: int | None = None, scope: list[str] | None = None, exclude_self: Column | None = None, post: DataFrame | None = None) -> DataFrame:
+def bm25(docs: DataFrame, id_cols: list[str], text_col: str, queries: DataFrame, query_id: str, query_col: str, top_k: int | None = None, scope: list[str] | None = None, post: DataFrame | None = None, analyze: Callable[[Column], Column] = terms) -> DataFrame:
     """(query, ids..., score, rank0): best documents of each query; ``scope`` columns must be equal on both sides."""
     scope = scope or []
-    post = postings(docs, id_cols, text_col) if post is None else post
-    stats = docs.select(F.size(terms(F.col(text_col))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    post = postings(docs, id_cols, text_col, analyze) if post is None else post
+    stats = docs.select(F.size(analyze(F.col(text_col))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    q = queries.select(query_id, *scope, F.explode(F.array_distinct(terms(F.col(query_col)))).alias("term"))
+    q = queries.select(query_id, *scope, F.explode(F.array_distinct(analyze(F.col(query_col)))).alias("term"))
     idf = df.join(q.select("term").distinct(), "term", "left_semi").join(F.broadcast(stats)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avgdl")  # stats is one row
     hit = q.join(idf, "term").join(post, ["term", *scope])
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     keys = [c for c in id_cols if c not in scope]
     scored = hit.groupBy(query_id, *scope, *keys).agg(F.sum(part).alias("score"))
-    if exclude_self is not None:
-        scored = scored.filter(~exclude_self)
     return ranked(scored.withColumn("score", F.round("score", 6)), [query_id, *scope], keys, top_k)
 
 

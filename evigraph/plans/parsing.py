@@ -99,7 +99,7 @@ def print_folding(spark: SparkSession, d: str) -> DataFrame:
     return r.select("ref_row_id", text.fold_print(F.col("raw_citation")).alias("printed"))
 
 
-FOLD_SQL = "SELECT DISTINCT ref_row_id, replace(replace(replace(translate(raw_citation, '‐‑‒–—‘’“”' || chr(160), '-----''''\"\" '), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS printed FROM paper_refs"
+FOLD_SQL = "SELECT DISTINCT ref_row_id, replace(replace(replace(replace(replace(translate(raw_citation, 'µμ×−–—‘’“”', 'uux---' || chr(39) || chr(39) || chr(34) || chr(34)), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;') AS printed FROM paper_refs"
 
 
 def queries() -> dict:

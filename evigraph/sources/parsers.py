@@ -7,6 +7,7 @@ fields, never an error. No network access is made; folders of downloaded files a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -16,10 +17,13 @@ from pyspark.sql import functions as F
 
 PAPER_JSON = "paper_id string, source string, title string, authors array<struct<name:string,orcid:string,affiliation:string>>, year int, venue string, abstract string, sections map<string,struct<name:string,text:string>>, references array<struct<ref_id:string,raw_citation:string,doi:string,arxiv_id:string,pmc_id:string,title:string,year:int,resolved:boolean>>, open_access_url string, full_text_available boolean, ingested_at string, aliases array<string>"
 _METHOD = ("method", "material", "experimental")
-#: Elements that hold no running text; words of preferred and of supplementary links.
+#: Elements that hold no running text; patterns of headings; words of preferred and of supplementary links.
 _SKIP = {"fig", "table-wrap", "supplementary-material", "fig-group", "table"}
-_STOP_HEADS = ("result", "discussion", "conclusion", "acknowledg", "reference", "funding", "supplement", "author contribution", "data availability", "conflict")
-PREFERRED, SUPPLEMENT = ("pdf", "full", "article", "download"), ("supplement", "appendix", "suppl")
+_METHOD_HEAD = re.compile(r"\b(method|materials?|experimental|sample preparation|data processing|image analysis)\b", re.I)
+_METHOD_START = re.compile(r"^(online )?(materials? and )?methods?$", re.I)
+_METHOD_STOP = re.compile(r"^(results?|discussion|conclusions?|references?|bibliography|extended data|acknowledg|author contributions?|competing interests?|data availability|additional information|supplementary)", re.I)
+_BIBLIOGRAPHY = re.compile(r"^\d+\.\s+[A-Z][A-Za-z'-]+,\s+[A-Z]\.")
+PREFERRED, SUPPLEMENT = ("pdf", "full", "article", "download", "fulltext"), ("supplement", "appendix", "suppl")
 
 
 def paper_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -134,19 +138,24 @@ def parse_tei(xml: str) -> dict | None:
     divs = [d for d in (body if body is not None else []) if _local(d) == "div"]
 
     def head(d: ElementTree.Element) -> str:
-        return next((_squash(_text(h, "")).lower() for h in d if _local(h) == "head"), "")
-
-    at = next((i for i, d in enumerate(divs) if any(m in head(d) for m in _METHOD)), None)
-    if at is not None and any(_local(c) == "div" for c in divs[at]):
-        chosen = [divs[at]]
-    elif at is not None:
-        end = next((i for i in range(at + 1, len(divs)) if any(head(divs[i]).startswith(s) for s in _STOP_HEADS)), len(divs))
-        chosen = divs[at:end]
-    else:
-        chosen = [d for d in _find(body, "div") if any(m in head(d) for m in _METHOD)] if body is not None else []
+        return next((_squash(_text(h, "")) for h in d if _local(h) == "head"), "")
+
+    start = next((i for i, d in enumerate(divs) if _METHOD_START.match(head(d))), None)
+    if start is None:
+        chosen: list[ElementTree.Element] = []
+        inner: set[ElementTree.Element] = set()
+        for d in _find(body, "div") if body is not None else []:
+            if d not in inner and _METHOD_HEAD.search(head(d)):
+                chosen.append(d)
+                inner.update(_find(d, "div"))
         chosen = chosen or divs
+    elif any(_local(c) == "div" for c in divs[start]):
+        chosen = [divs[start]]
+    else:
+        stop = next((i for i in range(start + 1, len(divs)) if _METHOD_STOP.match(head(divs[i]))), len(divs))
+        chosen = divs[start:stop]
     paras = [_squash(_text(p, "tei")) for d in chosen for p in d.iter() if _local(p) == "p"]
-    paras = [p for p in paras if p and not (p[:1] == "[" and p[1:3].strip("] ").isdigit() and p.count(",") > 3)]
+    paras = [p for p in paras if p and not _BIBLIOGRAPHY.match(p)]
     refs = [{"ref_id": b.get("{http://www.w3.org/XML/1998/namespace}id") or "", "raw_citation": _squash(" ".join(b.itertext())), "doi": next((i.text for i in _find(b, "idno") if (i.get("type") or "").lower() == "doi"), None)} for b in _find(root, "listBibl", "biblStruct")]
     return {"title": title, "year": int(when[:4]) if when[:4].isdigit() else None, "authors": [a for a in authors if a], "abstract": _squash(" ".join(_text(a, "") for a in _find(root, "abstract"))) or None, "methods": "\n".join(paras), "references": refs}
 

@@ -185,7 +185,7 @@ def test_jats_and_tei(spark):
     df = spark.createDataFrame([(1, jats), (2, "<bad"), (3, None)], "id int, x string")
     r = {x.id: x for x in parsers.xml_papers(df, "id", "x", "jats").collect()}
     assert r[1].title == "A & B" and r[1].methods == "Methods\nWe did [b1] it.\nInner\nMore." and r[2].title is None and r[3].methods is None
-    tei = "<TEI><text><body><div><head>Intro</head><p>no</p></div><div><head>2 Methods</head><p>Yes <ref type='bibr' target='#b3'>[4]</ref>.</p></div><div><head>Staining</head><p>Also.</p></div><div><head>Results</head><p>no</p></div></body></text></TEI>"
+    tei = "<TEI><text><body><div><head>Intro</head><p>no</p></div><div><head>Methods</head><p>Yes <ref type='bibr' target='#b3'>[4]</ref>.</p></div><div><head>Staining</head><p>Also.</p></div><div><head>Results</head><p>no</p></div></body></text></TEI>"
     t = parsers.xml_papers(spark.createDataFrame([(1, tei)], "id int, x string"), "id", "x", "tei").collect()[0]
     assert t.methods == "Yes [b3].\nAlso."
 

@@ -92,3 +92,15 @@ def test_freshness(spark):
     f = ids.fresh(F.to_timestamp("t"), F.to_timestamp(F.lit("2024-01-02 00:00:00")), 86_400)
     assert not one(spark, f, t="2024-01-01 00:00:00") and one(spark, f, t="2024-01-01 00:00:01")
     assert not one(spark, f, t=None) and not one(spark, f, t="2024-01-03 00:00:00")
+
+
+def test_stems(spark):
+    from evigraph.functions.stem import english_terms, porter
+    from evigraph.operators import retrieve
+
+    want = {"caresses": "caress", "ponies": "poni", "cats": "cat", "feed": "feed", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "sing": "sing", "conflated": "conflat", "hopping": "hop", "falling": "fall", "filing": "file", "happy": "happi", "sky": "sky", "relational": "relat", "conditional": "condit", "vietnamization": "vietnam", "triplicate": "triplic", "hopeful": "hope", "goodness": "good", "revival": "reviv", "adjustment": "adjust", "adoption": "adopt", "probate": "probat", "rate": "rate", "cease": "ceas", "controll": "control", "roll": "roll"}
+    assert {w: porter(w) for w in want} == want
+    assert one(spark, english_terms(F.col("t")), t="The cell's Washings, and 2 tubes") == ["cell", "wash", "2", "tube"]
+    docs = spark.createDataFrame([(1, "washing of cells"), (2, "frozen"), (3, None)], "id int, t string")
+    q = spark.createDataFrame([(9, "washed cell")], "q int, x string")
+    assert [r.id for r in retrieve.bm25(docs, ["id"], "t", q, "q", "x", 5, analyze=english_terms).collect()] == [1]
