@@ -69,11 +69,19 @@ def words(text: str) -> list[str]:
     return _TOKEN.findall(text)
 
 
+_BITS: dict[str, int] = {}
+
+
 def _bits(word: str) -> int:
-    """64-bit map of a word's letter pairs, to drop chance block mates cheaply."""
-    p, out = f"^{word}$", 0
-    for i in range(len(p) - 1):
-        out |= 1 << (ord(p[i]) * 31 + ord(p[i + 1]) * 7) % 63
+    """64-bit map of a word's letter pairs, to drop chance block mates cheaply; kept in a bounded table."""
+    out = _BITS.get(word)
+    if out is None:
+        p, out = f"^{word}$", 0
+        for i in range(len(p) - 1):
+            out |= 1 << (ord(p[i]) * 31 + ord(p[i + 1]) * 7) % 63
+        if len(_BITS) > 300_000:
+            _BITS.clear()
+        _BITS[word] = out
     return out
 
 
@@ -96,6 +104,7 @@ class Hasher:
 
     def reset(self) -> None:
         self.number: dict[str, int] = {}
+        self.grams: dict[str, list[int]] = {}
         self.hashes: list[int] = []
         self.features: list[int] = []
         self.starts: list[int] = []
@@ -134,12 +143,12 @@ class Hasher:
                 continue
             if context is None:
                 context = [feature("w:" + w) for w in sorted({x for x in tokens if x in common and x not in STOP})]
-            p = f"^{t}$"
+            grams = self.grams.get(t)
+            if grams is None:
+                p = f"^{t}$"
+                grams = self.grams[t] = [feature(p[j : j + 3] + c) for j in range(len(p) - 2) for c in ("/a", "/b")]
             self.starts.append(len(self.features))
-            for j in range(len(p) - 2):
-                g = p[j : j + 3]
-                self.features.append(feature(g + "/a"))
-                self.features.append(feature(g + "/b"))
+            self.features += grams
             self.features += context
             self.rows.append(row)
             self.maps.append(_bits(t))
@@ -158,7 +167,7 @@ class Hasher:
             keys = (mixed ^ (mixed >> np.uint64(32))).view(np.int64)
         out = keys.ravel(), np.repeat(np.array(self.rows, np.int64), BANDS), np.repeat(np.array(self.maps, np.uint64).view(np.int64), BANDS)
         self.features, self.starts, self.rows, self.maps = [], [], [], []
-        if len(self.hashes) > 100_000:
+        if len(self.hashes) > 100_000 or len(self.grams) > 300_000:
             self.reset()
         return out
 
