@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from evigraph.llm.token_budget import canonical_source, document_tokens
 from evigraph.session import checkpoint
+from evigraph.sources import hash_sample
 
 FEATURES, SAMPLE_DOCS, STEPS, TOLERANCE, BUCKET = 4096, 5_000, 40, 1e-6, 4_000
 
@@ -63,7 +64,7 @@ class Classifier:
 
 def predicted(df: DataFrame, labelled: DataFrame, names: list[str], id_col: str, text_col: str) -> DataFrame:
     """(id, p array<double>) over ``names``: posterior of each row's source, the classifier fitted on a bounded sample."""
-    rows = [(r[0], r[1]) for r in labelled.filter(F.length(text_col) > 0).orderBy(F.xxhash64(id_col)).limit(SAMPLE_DOCS).select("source", text_col).collect()]
+    rows = [(r[0], r[1]) for r in hash_sample(labelled, id_col, SAMPLE_DOCS).filter(F.length(text_col) > 0).select("source", text_col).collect()]
     shared = df.sparkSession.sparkContext.broadcast(Classifier(rows) if rows else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

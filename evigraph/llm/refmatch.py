@@ -35,6 +35,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evigraph.sources import hash_sample
+
 BANDS, ROWS = 7, 4
 COMMON_SHARE, COMMON_LEAST = 0.001, 12
 SAMPLE_REFS = 6_000
@@ -529,7 +531,7 @@ def match(papers: DataFrame, refs: DataFrame, authors: DataFrame | None = None,
     def rows_of(b: pa.RecordBatch) -> Iterator[tuple]:
         return zip(*(c.to_pylist() for c in b.columns))
 
-    sample = slim.filter("doi is not null or arxiv_id is not null or pmc_id is not null").orderBy(F.xxhash64("ref_row_id")).limit(sample_refs)
+    sample = hash_sample(slim.filter("doi is not null or arxiv_id is not null or pmc_id is not null"), "ref_row_id", sample_refs)
     xs, ys, folds = [], [], []
     for r in pairs_of(sample).select(*order).toPandas().itertuples(index=False):
         v = [None if x is None or x != x else x for x in r]
@@ -549,6 +551,7 @@ def match(papers: DataFrame, refs: DataFrame, authors: DataFrame | None = None,
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, slope, constant = learned.value
+        weights = w.tolist()
         papers_seen: dict[str, Paper] = {}
         for b in batches:
             rid, pid, conf = [], [], []
@@ -562,7 +565,9 @@ def match(papers: DataFrame, refs: DataFrame, authors: DataFrame | None = None,
                         papers_seen.clear()
                     p = papers_seen[v[1]] = Paper(v[2], v[3], v[4], v[5], shared.value)
                 f = features(p, ref, shared.value)
-                z = slope * (float(np.dot(f, w[:-1])) + float(w[-1])) + constant
+                if f is NOTHING:  # far below any threshold
+                    continue
+                z = slope * (sum([a * b for a, b in zip(f, weights)]) + weights[-1]) + constant
                 if v[1] in identifiers(v[9], v[10], v[11]) and (f[2] >= 0.6 and f[0] + f[1] <= 2 or f[5] and (f[6] or f[7] or f[9] or f[10] or not (v[6] or "").strip())):
                     z += 3.0
                 rid.append(v[0])
