@@ -1,3 +1,3 @@
-from evigraph.sources.tables import latest_rows, read_table
+from evigraph.sources.tables import hash_sample, latest_rows, read_table
 
-__all__ = ["latest_rows", "read_table"]
+__all__ = ["hash_sample", "latest_rows", "read_table"]
