@@ -108,6 +108,12 @@ class Hasher:
         self.number: dict[str, int] = {}
         self.grams: dict[str, list[int]] = {}
         self.hashes: list[int] = []
+        self.table = np.empty((4096, BANDS * ROWS), np.uint32)
+        self.filled = 0
+        self.out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self._open()
+
+    def _open(self) -> None:
         self.features: list[int] = []
         self.starts: list[int] = []
         self.rows: list[int] = []
@@ -155,23 +161,37 @@ class Hasher:
             self.rows.append(row)
             self.maps.append(_bits(t))
             posted += 1
+        if len(self.rows) >= 2_000:  # small enough for the processor's cache
+            self._close()
         return posted
 
-    def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(block keys, rows, maps) of all posted words; forgets them."""
+    def _close(self) -> None:
+        """Keys of the words posted since the last time."""
         if not self.rows:
-            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-        h = np.array(self.hashes, np.uint64)
+            return
+        n = len(self.hashes)
         with np.errstate(over="ignore"):
-            table = ((h[:, None] * self.a[None, :] + self.b[None, :]) >> np.uint64(32)).astype(np.uint32)
-            sig = np.minimum.reduceat(table[np.array(self.features)], np.array(self.starts), axis=0).reshape(-1, BANDS, ROWS).astype(np.uint64)
+            if self.filled < n:
+                while len(self.table) < n:
+                    self.table = np.concatenate([self.table, np.empty_like(self.table)])
+                h = np.array(self.hashes[self.filled :], np.uint64)
+                self.table[self.filled : n] = (h[:, None] * self.a[None, :] + self.b[None, :]) >> np.uint64(32)
+                self.filled = n
+            sig = np.minimum.reduceat(self.table[np.array(self.features)], np.array(self.starts), axis=0).reshape(-1, BANDS, ROWS).astype(np.uint64)
             mixed = (sig * self.mix).sum(2, dtype=np.uint64)
             keys = (mixed ^ (mixed >> np.uint64(32))).view(np.int64)
-        out = keys.ravel(), np.repeat(np.array(self.rows, np.int64), BANDS), np.repeat(np.array(self.maps, np.uint64).view(np.int64), BANDS)
-        self.features, self.starts, self.rows, self.maps = [], [], [], []
+        self.out.append((keys.ravel(), np.repeat(np.array(self.rows, np.int64), BANDS), np.repeat(np.array(self.maps, np.uint64).view(np.int64), BANDS)))
+        self._open()
+
+    def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(block keys, rows, maps) of all posted words; forgets them."""
+        self._close()
+        parts, self.out = self.out, []
         if len(self.hashes) > 100_000 or len(self.grams) > 300_000:
             self.reset()
-        return out
+        if not parts:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return tuple(np.concatenate([p[i] for p in parts]) for i in range(3))
 
 
 def _key(text: str) -> int:
