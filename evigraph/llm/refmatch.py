@@ -35,6 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evigraph.session import checkpoint
 from evigraph.sources import hash_sample
 
 BANDS, ROWS = 7, 4
@@ -491,6 +492,7 @@ def match(papers: DataFrame, refs: DataFrame, authors: DataFrame | None = None,
         titled = titled.join(first, "paper_id", "left")
     else:
         titled = titled.withColumn("author_names", F.lit(None).cast("string"))
+    titled = checkpoint(titled)  # read by five plans below
     # words of many titles: at most (words per title) / COMMON_SHARE of them exist
     plain = F.lower(F.regexp_replace(F.coalesce("title", F.lit("")), "[β]", "beta"))
     counts = titled.select(F.explode(F.array_distinct(F.regexp_extract_all(plain, F.lit("[a-z0-9]+"), F.lit(0)))).alias("w")).groupBy("w").count()
