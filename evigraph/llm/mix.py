@@ -3,8 +3,8 @@
 A document with a known source belongs to it; for one without, a classifier trained on the
 labelled ones predicts a posterior over sources. Nonnegative rates per document, at most the
 allowed repeats, are fitted so that the expected tokens of each source match its share of the
-total: least squares by projected gradient steps, each one
-aggregation of per-source sums. Documents of equal membership share a rate, so labelled ones are summed per source first.
+total: least squares by projected gradient steps, each one aggregation of per-source sums.
+Documents of equal membership share a rate, so labelled ones are summed per source first.
 
 Rates become whole numbers of copies by error diffusion within (source, bucket), long documents
 first, so that the tokens meet the fitted ones closely; hot sources have many buckets.
