@@ -2,9 +2,10 @@
 
 1. Common words are those of many titles (document frequency over all papers); the others are
    rare. Their number is bounded by share, not by the data's size.
-2. Blocking: MinHash over the trigrams of each rare title word together with the common words
-   around it, in bands; and over the attributes identifier, and author with year where a
-   reference names no title. One join on 64-bit block keys gives the candidate pairs.
+2. Blocking: one-deletion variants of each rare title word, which any two spellings but for one
+   slip share (words of 0.01 to 0.1 % of titles with each common word of the title instead); and
+   the attributes identifier, and author with year where a reference names no title. One join on
+   64-bit block keys gives the candidate pairs.
 3. Features per pair: title words missing from the reference, words it has besides, rare word
    found, truncation, year distance, first author, venue. Words compare by edit distance and as
    abbreviations.
@@ -38,8 +39,8 @@ from pyspark.sql import functions as F
 from evigraph.session import checkpoint
 from evigraph.sources import hash_sample
 
-BANDS, ROWS = 7, 4
 COMMON_SHARE, COMMON_LEAST = 0.001, 12
+WARM_SHARE, WARM_LEAST = 0.0001, 64
 SAMPLE_REFS = 6_000
 #: Words that carry no content in a title or a citation.
 STOP = set("a an the of and in on for with to from by at as or et al others amp beta b in".split())
@@ -92,107 +93,65 @@ def _deletions(word: str) -> set[str]:
     return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
 
 
-class Hasher:
-    """MinHash of (rare word, context words), for a batch at a time; minima of features are kept in a table."""
+class Poster:
+    """Block keys of rare words: their one-deletion variants, so that words but for one slip share a key.
 
-    def __init__(self, common: frozenset[str]):
-        rng = np.random.default_rng(20240601)
-        self.a = rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-        self.b = rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
-        self.mix = rng.integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
-        self.common = common
-        self.slips = {v: w for w in sorted(common) if len(w) > 4 for v in _deletions(w)}
-        self.mended: dict[str, str] = {}
-        self.reset()
-
-    def reset(self) -> None:
-        self.number: dict[str, int] = {}
-        self.grams: dict[str, list[int]] = {}
-        self.hashes: list[int] = []
-        self.table = np.empty((4096, BANDS * ROWS), np.uint32)
-        self.filled = 0
-        self.out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self._open()
-
-    def _open(self) -> None:
-        self.features: list[int] = []
-        self.starts: list[int] = []
-        self.rows: list[int] = []
-        self.maps: list[int] = []
-
-    def _feature(self, text: str) -> int:
-        n = self.number.get(text)
-        if n is None:
-            n = self.number[text] = len(self.hashes)
-            self.hashes.append(xxhash.xxh64_intdigest(text))
-        return n
-
-    def mend(self, token: str) -> str:
-        """A common word with one slip as that word; any other token as it is."""
+    Words of many titles that are not common yet (``warm``) would give large blocks; they are posted
+    with each common word beside them in the title instead, a slip in them mended first.
+    """
+
+    def __init__(self, common: frozenset[str], warm: frozenset[str] = frozenset()):
+        self.common, self.warm = common, warm
+        self.slips: dict[str, list[str]] = {}
+        for w in sorted(common | warm):
+            if len(w) > 4:
+                for v in _deletions(w):
+                    self.slips.setdefault(v, []).append(w)
+        self.mended: dict[str, tuple[str, ...]] = {}
+        self.variants: dict[str, list[int]] = {}
+
+    def mend(self, token: str) -> tuple[str, ...]:
+        """The common and warm words that a token is but for one slip; none if it is one itself."""
         got = self.mended.get(token)
         if got is None:
             if len(self.mended) > 200_000:
                 self.mended.clear()
-            got = token
-            if len(token) > 3 and token not in self.common and not token.isdigit():
-                near = {self.slips[v] for v in _deletions(token) if v in self.slips}
-                got = next((w for w in sorted(near) if one_slip(w, token)), token)
+            got = ()
+            if len(token) > 3 and token not in self.common and token not in self.warm and not token.isdigit():
+                near = {w for v in _deletions(token) for w in self.slips.get(v, ())}
+                got = tuple(w for w in sorted(near) if one_slip(w, token))
             self.mended[token] = got
         return got
 
-    def add_title(self, row: int, tokens: list[str], near: bool) -> int:
-        """Post a row's rare words; with ``near`` only those beside a common word (citations hold names, too)."""
-        common, feature, posted = self.common, self._feature, 0
-        tokens = [t if t in common else self.mend(t) for t in tokens]
+    def keys_of(self, word: str) -> list[int]:
+        got = self.variants.get(word)
+        if got is None:
+            if len(self.variants) > 200_000:
+                self.variants.clear()
+            forms = _deletions(word)
+            if "rn" in word:  # also read as m
+                forms |= _deletions(word.replace("rn", "m"))
+            got = self.variants[word] = [_key("d:" + v) for v in forms]
+        return got
+
+    def keys(self, tokens: list[str], near: bool, least: int) -> set[int]:
+        """Keys of the rare words of at least ``least`` letters; with ``near`` only of those beside a common word (citations hold names, too)."""
+        common, warm, out = self.common, self.warm, set()
+        known = [t in common or any(w in common for w in self.mend(t)) for t in tokens]
         context = None
         for i, t in enumerate(tokens):
-            if len(t) < 5 or t in common or t.isdigit():
+            if len(t) < least or t in common or t.isdigit():
                 continue
-            if near and not ((i and tokens[i - 1] in common) or any(x in common for x in tokens[i + 1 : i + 3])):
+            if near and not ((i and known[i - 1]) or any(known[i + 1 : i + 3])):
                 continue
-            if context is None:
-                context = [feature("w:" + w) for w in sorted({x for x in tokens if x in common and x not in STOP})]
-            grams = self.grams.get(t)
-            if grams is None:
-                p = f"^{t}$"
-                grams = self.grams[t] = [feature(p[j : j + 3] + c) for j in range(len(p) - 2) for c in ("/a", "/b")]
-            self.starts.append(len(self.features))
-            self.features += grams
-            self.features += context
-            self.rows.append(row)
-            self.maps.append(_bits(t))
-            posted += 1
-        if len(self.rows) >= 2_000:  # small enough for the processor's cache
-            self._close()
-        return posted
-
-    def _close(self) -> None:
-        """Keys of the words posted since the last time."""
-        if not self.rows:
-            return
-        n = len(self.hashes)
-        with np.errstate(over="ignore"):
-            if self.filled < n:
-                while len(self.table) < n:
-                    self.table = np.concatenate([self.table, np.empty_like(self.table)])
-                h = np.array(self.hashes[self.filled :], np.uint64)
-                self.table[self.filled : n] = (h[:, None] * self.a[None, :] + self.b[None, :]) >> np.uint64(32)
-                self.filled = n
-            sig = np.minimum.reduceat(self.table[np.array(self.features)], np.array(self.starts), axis=0).reshape(-1, BANDS, ROWS).astype(np.uint64)
-            mixed = (sig * self.mix).sum(2, dtype=np.uint64)
-            keys = (mixed ^ (mixed >> np.uint64(32))).view(np.int64)
-        self.out.append((keys.ravel(), np.repeat(np.array(self.rows, np.int64), BANDS), np.repeat(np.array(self.maps, np.uint64).view(np.int64), BANDS)))
-        self._open()
-
-    def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(block keys, rows, maps) of all posted words; forgets them."""
-        self._close()
-        parts, self.out = self.out, []
-        if len(self.hashes) > 100_000 or len(self.grams) > 300_000:
-            self.reset()
-        if not parts:
-            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-        return tuple(np.concatenate([p[i] for p in parts]) for i in range(3))
+            if t not in warm:
+                out.update(self.keys_of(t))
+            for w in (t,) if t in warm else self.mend(t):
+                if w in warm:
+                    if context is None:
+                        context = {c for x in tokens for c in ((x,) if x in common else self.mend(x)) if c in common and c not in STOP}
+                    out.update(_key(f"w:{w}|{c}") for c in context or {""})
+        return out
 
 
 def _key(text: str) -> int:
@@ -497,55 +456,55 @@ def match(papers: DataFrame, refs: DataFrame, authors: DataFrame | None = None,
     plain = F.lower(F.regexp_replace(F.coalesce("title", F.lit("")), "[β]", "beta"))
     counts = titled.select(F.explode(F.array_distinct(F.regexp_extract_all(plain, F.lit("[a-z0-9]+"), F.lit(0)))).alias("w")).groupBy("w").count()
     n_papers = titled.count()
-    common = frozenset(r["w"] for r in counts.filter(F.col("count") >= max(COMMON_LEAST, COMMON_SHARE * n_papers)).select("w").collect()) | STOP
+    many = {r["w"]: r["count"] for r in counts.filter(F.col("count") >= min(max(COMMON_LEAST, COMMON_SHARE * n_papers), max(WARM_LEAST, WARM_SHARE * n_papers))).collect()}
+    common = frozenset(w for w, n in many.items() if n >= max(COMMON_LEAST, COMMON_SHARE * n_papers)) | STOP
+    warm = frozenset(w for w, n in many.items() if n >= max(WARM_LEAST, WARM_SHARE * n_papers)) - common
     shared = spark.sparkContext.broadcast(common)
+    shared_warm = spark.sparkContext.broadcast(warm)
     slim = refs.select("ref_row_id", "raw_citation", F.col("title").alias("r_title"), F.col("pub_year").alias("r_year"), "doi", "arxiv_id", "pmc_id").filter(F.col("ref_row_id").isNotNull())
 
-    def keyed(h: Hasher, extra: list[tuple[int, int]], ids: pa.Array, name: str) -> pa.RecordBatch:
-        keys, rows, maps = h.take()
-        keys = np.concatenate([keys, np.array([k for k, _ in extra], np.int64)])
-        rows = np.concatenate([rows, np.array([r for _, r in extra], np.int64)])
-        maps = np.concatenate([maps, np.full(len(extra), -1, np.int64)])
-        return pa.RecordBatch.from_arrays([pa.array(keys), ids.take(pa.array(rows)), pa.array(maps)], names=["key", name, "map"])
+    def keyed(posted: list[set[int]], ids: pa.Array, name: str) -> pa.RecordBatch:
+        rows = np.repeat(np.arange(len(posted)), [len(k) for k in posted])
+        return pa.RecordBatch.from_arrays([pa.array([k for own in posted for k in own], pa.int64()), ids.take(pa.array(rows, pa.int64()))], names=["key", name])
 
     def paper_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = Hasher(shared.value)
+        h = Poster(shared.value, shared_warm.value)
         for b in batches:
-            extra = []
-            for i, (pid, title, year, _, author) in enumerate(zip(*(c.to_pylist() for c in b.columns))):
-                h.add_title(i, words(fold(title)), False)
-                extra.append((_key(pid), i))
+            posted = []
+            for pid, title, year, _, author in zip(*(c.to_pylist() for c in b.columns)):
+                own = h.keys(words(fold(title)), False, 5)
+                own.add(_key(pid))
                 if author and year:
-                    extra += [(_key(f"{w}|{year}"), i) for w in set(words(fold(author))) if len(w) >= 4]
-            yield keyed(h, extra, b.column(0), "paper_id")
+                    own.update(_key(f"{w}|{year}") for w in set(words(fold(author))) if len(w) >= 4)
+                posted.append(own)
+            yield keyed(posted, b.column(0), "paper_id")
 
     def ref_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = Hasher(shared.value)
+        h = Poster(shared.value, shared_warm.value)
         for b in batches:
-            extra = []
-            for i, (_, citation, title, year, doi, arxiv, pmc) in enumerate(zip(*(c.to_pylist() for c in b.columns))):
-                n = h.add_title(i, words(fold(title)), False) if title else 0
-                if not n or _CUT.search(title):
+            posted = []
+            for _, citation, title, year, doi, arxiv, pmc in zip(*(c.to_pylist() for c in b.columns)):
+                # a letter may be missing from a rare word of five
+                own = h.keys(words(fold(title)), False, 4) if title else set()
+                if not own or _CUT.search(title):
                     text = fold(citation)
                     tokens = words(text)
-                    n += h.add_title(i, tokens, True)
+                    own |= h.keys(tokens, True, 4)
                     if not title and is_bare(tokens, h.common):
                         for y in {year} if year else set(_YEAR.findall(text)):
-                            extra += [(_key(f"{w}|{y}"), i) for w in set(tokens[:10]) if len(w) >= 4 and w not in h.common and not w.isdigit()]
+                            own.update(_key(f"{w}|{y}") for w in set(tokens[:10]) if len(w) >= 4 and w not in h.common and not w.isdigit())
                 if doi or arxiv or pmc or citation and "10." in citation:
-                    extra += [(_key(p), i) for p in identifiers(doi, arxiv, pmc, citation if citation and "10." in citation else None)]
-            yield keyed(h, extra, b.column(0), "ref_row_id")
+                    own.update(_key(p) for p in identifiers(doi, arxiv, pmc, citation if citation and "10." in citation else None))
+                posted.append(own)
+            yield keyed(posted, b.column(0), "ref_row_id")
 
     # pairs travel as numbers: 64-bit hashes of paper ids, resolved on both sides of the join
-    p_keys = titled.mapInArrow(paper_keys, "key long, paper_id string, map long").select("key", F.xxhash64("paper_id").alias("paper_no"), F.col("map").alias("p_map"))
+    p_keys = titled.mapInArrow(paper_keys, "key long, paper_id string").select("key", F.xxhash64("paper_id").alias("paper_no"))
     described = titled.withColumn("paper_no", F.xxhash64("paper_id"))
 
     def pairs_of(some: DataFrame) -> DataFrame:
-        posted = some.mapInArrow(ref_keys, "key long, ref_row_id long, map long")
-        # chance block mates share few letter pairs; identifiers and authors have all bits set
-        # (one slip in a word changes at most a quarter of its pairs)
-        alike = F.bit_count(F.col("map").bitwiseAND(F.col("p_map"))) * 10 >= F.bit_count("p_map") * 7
-        pairs = posted.join(p_keys, "key").filter(alike).select("ref_row_id", "paper_no").distinct()
+        posted = some.mapInArrow(ref_keys, "key long, ref_row_id long")
+        pairs = posted.join(p_keys, "key").select("ref_row_id", "paper_no").distinct()
         return pairs.join(described, "paper_no").drop("paper_no").join(some, "ref_row_id")
 
     order = ["ref_row_id", "paper_id", "title", "p_year", "venue", "author_names", "raw_citation", "r_title", "r_year", "doi", "arxiv_id", "pmc_id"]

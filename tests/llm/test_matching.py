@@ -133,3 +133,39 @@ def test_exact_titles_are_found(spark, small):
     p = {refmatch.fold(r.title): r.paper_id for r in spark.read.parquet(f"{small}/papers.parquet").collect() if r.title}
     want = {r.ref_row_id: p[refmatch.fold(r.title)] for r in spark.read.parquet(f"{small}/paper_refs.parquet").collect() if r.title and refmatch.fold(r.title) in p}
     assert want and sum(m.get(k) == v for k, v in want.items()) >= 0.97 * len(want)
+
+
+TEMPLATE = "Deep sequencing of {} and wound closure in rat"
+REF_SCHEMA = "ref_row_id long, raw_citation string, title string, pub_year int, doi string, arxiv_id string, pmc_id string"
+
+
+def invented(n, seed=7):
+    rng = np.random.default_rng(seed)
+    return ["".join(rng.choice(list("bdfgklmnprstvz" if i % 2 == 0 else "aeiou")) for i in range(rng.integers(5, 10))) for _ in range(n)]
+
+
+def slips(w, rng):
+    i = int(rng.integers(1, len(w) - 2))
+    return [w[:i] + w[i + 1 :], w[:i] + "x" + w[i:], w[:i] + "x" + w[i + 1 :], w[:i] + w[i + 1] + w[i] + w[i + 2 :]]
+
+
+def template_papers(spark, rare):
+    return spark.createDataFrame([(f"p{i}", TEMPLATE.format(w), 2010, None) for i, w in enumerate(rare)], "paper_id string, title string, pub_year int, venue string")
+
+
+def test_slips_in_the_only_rare_word(spark):
+    """A slipped rare word still meets its paper, whatever the slip and wherever it stands."""
+    rng, rare = np.random.default_rng(3), sorted(set(invented(60)))
+    want = {100 * i + k: (f"p{i}", s) for i, w in enumerate(rare) if len(w) >= 7 for k, s in enumerate(slips(w, rng)[:3])}
+    r = spark.createDataFrame([(n, None, TEMPLATE.format(s), 2010, None, None, None) for n, (_, s) in want.items()], REF_SCHEMA)
+    got = {x.ref_row_id: x.paper_id for x in refmatch.match(template_papers(spark, rare), r).collect()}
+    assert got == {n: p for n, (p, _) in want.items()}
+
+
+def test_words_of_many_titles_meet_by_their_context(spark, monkeypatch):
+    monkeypatch.setattr(refmatch, "WARM_LEAST", 5)
+    rare = sorted(set(invented(40)))
+    p = template_papers(spark, rare).unionByName(spark.createDataFrame([(f"w{i}", f"Deep sequencing of kormalib and closure in {w}", 2010, None) for i, w in enumerate(["liver", "kidney", "muscle", "spleen", "tendon", "retina"])], "paper_id string, title string, pub_year int, venue string"))
+    r = spark.createDataFrame([(1, None, "Deep sequencing of kormalbi and closure in spleen", 2010, None, None, None), (2, None, "Deep sequencing of kormalib and closure in retina", 2010, None, None, None)], REF_SCHEMA)
+    got = {x.ref_row_id: x.paper_id for x in refmatch.match(p, r).collect()}
+    assert got == {1: "w3", 2: "w5"}
