@@ -77,7 +77,7 @@ _BITS: dict[str, int] = {}
 
 
 def _bits(word: str) -> int:
-    """64-bit map of a word's letter pairs, to drop chance block mates cheaply; kept in a bounded table."""
+    """64-bit map of a word's letter pairs, to drop unlike words cheaply; kept in a bounded table."""
     out = _BITS.get(word)
     if out is None:
         p, out = f"^{word}$", 0
@@ -371,8 +371,11 @@ class Paper:
 
 
 def _like(a: str, bits_a: int, b: str, bits_b: int) -> bool:
-    """Whether two rare words are one but for a slip, by their letter pairs first."""
-    return (bits_a & bits_b).bit_count() * 10 >= 6 * bits_a.bit_count() and (one_slip(a, b) or one_slip(a.replace("rn", "m"), b.replace("rn", "m")))
+    """Whether two rare words are one but for a slip, by their letter pairs first (a slip takes at most three)."""
+    rn = "rn" in a or "rn" in b
+    if (bits_a & ~bits_b).bit_count() > 3 and not rn:
+        return False
+    return one_slip(a, b) or (rn and one_slip(a.replace("rn", "m"), b.replace("rn", "m")))
 
 
 #: Features of a pair without a rare word in common, where the reference names a title.

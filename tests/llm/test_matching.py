@@ -169,3 +169,12 @@ def test_words_of_many_titles_meet_by_their_context(spark, monkeypatch):
     r = spark.createDataFrame([(1, None, "Deep sequencing of kormalbi and closure in spleen", 2010, None, None, None), (2, None, "Deep sequencing of kormalib and closure in retina", 2010, None, None, None)], REF_SCHEMA)
     got = {x.ref_row_id: x.paper_id for x in refmatch.match(p, r).collect()}
     assert got == {1: "w3", 2: "w5"}
+
+
+def test_any_one_slip_is_alike():
+    bits = refmatch._bits
+    for w in [*invented(80), "kubokza", "bemtoksu", "kornalib"]:
+        for i in range(len(w)):
+            made = {w[:i] + w[i + 1 :], w[:i] + "x" + w[i:], w[:i] + "x" + w[i + 1 :], w[:i] + w[i + 1 : i + 2] + w[i] + w[i + 2 :]}
+            assert all(refmatch._like(w, bits(w), x, bits(x)) for x in made), (w, made)
+    assert refmatch._like("kornalib", bits("kornalib"), "komalbi", bits("komalbi")) and not refmatch._like("kubokza", bits("kubokza"), "bemtoksu", bits("bemtoksu"))
