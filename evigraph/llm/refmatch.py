@@ -134,13 +134,13 @@ class Poster:
             got = self.variants[word] = [_key("d:" + v) for v in forms]
         return got
 
-    def keys(self, tokens: list[str], near: bool, least: int) -> set[int]:
-        """Keys of the rare words of at least ``least`` letters; with ``near`` only of those beside a common word (citations hold names, too)."""
+    def keys(self, tokens: list[str], near: bool, least: int, done: frozenset[str] = frozenset()) -> set[int]:
+        """Keys of the rare words of at least ``least`` letters but those ``done``; with ``near`` only of those beside a common word (citations hold names, too)."""
         common, warm, out = self.common, self.warm, set()
         known = [t in common or any(w in common for w in self.mend(t)) for t in tokens]
         context = None
         for i, t in enumerate(tokens):
-            if len(t) < least or t in common or t.isdigit():
+            if len(t) < least or t in common or t.isdigit() or t in done and t not in warm:
                 continue
             if near and not ((i and known[i - 1]) or any(known[i + 1 : i + 3])):
                 continue
@@ -488,14 +488,14 @@ def match(papers: DataFrame, refs: DataFrame, authors: DataFrame | None = None,
             posted = []
             for _, citation, title, year, doi, arxiv, pmc in zip(*(c.to_pylist() for c in b.columns)):
                 # a letter may be missing from a rare word of five
-                own = h.keys(words(fold(title)), False, 4) if title else set()
-                if not own or _CUT.search(title):
-                    text = fold(citation)
-                    tokens = words(text)
-                    own |= h.keys(tokens, True, 4)
-                    if not title and is_bare(tokens, h.common):
-                        for y in {year} if year else set(_YEAR.findall(text)):
-                            own.update(_key(f"{w}|{y}") for w in set(tokens[:10]) if len(w) >= 4 and w not in h.common and not w.isdigit())
+                named = words(fold(title)) if title else []
+                own = h.keys(named, False, 4)
+                text = fold(citation)
+                tokens = words(text)
+                own |= h.keys(tokens, True, 4, frozenset(named))
+                if not title and is_bare(tokens, h.common):
+                    for y in {year} if year else set(_YEAR.findall(text)):
+                        own.update(_key(f"{w}|{y}") for w in set(tokens[:10]) if len(w) >= 4 and w not in h.common and not w.isdigit())
                 if doi or arxiv or pmc or citation and "10." in citation:
                     own.update(_key(p) for p in identifiers(doi, arxiv, pmc, citation if citation and "10." in citation else None))
                 posted.append(own)

@@ -178,3 +178,10 @@ def test_any_one_slip_is_alike():
             made = {w[:i] + w[i + 1 :], w[:i] + "x" + w[i:], w[:i] + "x" + w[i + 1 :], w[:i] + w[i + 1 : i + 2] + w[i] + w[i + 2 :]}
             assert all(refmatch._like(w, bits(w), x, bits(x)) for x in made), (w, made)
     assert refmatch._like("kornalib", bits("kornalib"), "komalbi", bits("komalbi")) and not refmatch._like("kubokza", bits("kubokza"), "bemtoksu", bits("bemtoksu"))
+
+
+def test_citation_counts_beside_a_garbled_title(spark):
+    rare = sorted(set(invented(40)))
+    r = spark.createDataFrame([(i, f"A. Bor. {TEMPLATE.format(w)}. 2010", TEMPLATE.format("xq" + w[2:-2] + "qx"), 2010, None, None, None) for i, w in enumerate(rare)], REF_SCHEMA)
+    got = {x.ref_row_id: x.paper_id for x in refmatch.match(template_papers(spark, rare), r).collect()}
+    assert got == {i: f"p{i}" for i in range(len(rare))}
