@@ -62,6 +62,12 @@ def test_double_and_partial(model):
     assert encoding.restore(mixed, model)[0] == CLEAN["en"] + " " + t
 
 
+@pytest.mark.parametrize("right,wrong", [("cp1252", "mac_roman"), ("cp1252", "cp1250")])
+def test_latin_confusions_are_tried_whatever_letters_they_give(right, wrong):
+    text = "Después, los tejidos se lavaron en una solución fría." if wrong == "mac_roman" else "Los años de la muestra."
+    assert text in {out for _, out, _, _ in encoding.chains(text.encode(right).decode(wrong), frozenset("áéíóúñü"))}
+
+
 @pytest.mark.parametrize("text", [*CLEAN.values(), "", None, "ascii", MEANT, "O ensaio começou de MANHÃ, COM SÃO registo.", "Ã/Â ratio: the author's own.", "Table: ├─ a └─ c", "👩‍🔬 done"])
 def test_meant_characters_are_no_case(model, text):
     assert encoding.restore(text, model) == (text, [], False)
