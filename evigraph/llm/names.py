@@ -6,7 +6,8 @@ merged spellings, initials, affiliations and ORCIDs - is posted to blocks:
 * its ORCID;
 * affiliation, possible given-name initial and first, or last, letter of the family name (a slip
   changes at most one of the two letters);
-* family name and initial alone, for entries without affiliation.
+* family name and initial alone, for entries without affiliation; once no link is left, also the
+  family name's one-deletion variants, and the only profile that fits over all of them is joined.
 
 Within a block, work is linear: family names meet through their one-deletion variants, and a
 profile is compared with those of the same family only. Spelt-out given names must agree (slips
@@ -328,6 +329,14 @@ def _unplaced(items: list[Profile]) -> Iterator[tuple[int, int]]:
     yield from _resolve(left)
 
 
+def _slipped(items: list[Profile]) -> Iterator[tuple[int, int]]:
+    """(profile without affiliation, profile it may be), families equal or near; at most two each, as two are too many."""
+    for p in items:
+        if not p.affs:
+            for q in _first_two(p, (q for q in items if q.cid != p.cid and any(near(f, g) for f in p.fams for g in q.fams))):
+                yield (p.cid, q.cid)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(cid, root) of linked ids by repeated minimum and pointer jumping; lineage cut each time."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct()
@@ -376,19 +385,19 @@ def resolve_entities(entries: DataFrame, id_col: str = "author_id", name_col: st
     forms = rows.groupBy(*FORM).agg(F.min("id").alias("pid"))
     forms = checkpoint(forms.withColumn("cid", F.col("pid")))
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def post(batches: Iterator[pa.RecordBatch], slips: bool = False) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, keys = [], []
             for r, (fams, givens, inits, affs, orcids) in enumerate(zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("fams", "givens", "inits", "affs", "orcids")))):
-                own = {f"o|{o}" for o in orcids if o}
+                own = set() if slips else {f"o|{o}" for o in orcids if o}
                 first = {i for i in inits if i} | {x[0] for g in givens if g for x in full_givens(g)}
                 for f in fams:
                     for i in first or {""}:
                         if i == "*":
-                            own |= {f"g|^{f[:3]}", f"g|{f[-5:]}$"}
+                            own |= set() if slips else {f"g|^{f[:3]}", f"g|{f[-5:]}$"}
                             continue
-                        own |= {f"a|{a}|{i}|{e}" for a in affs if a for e in ("^" + f[:1], f[-1:] + "$")}
-                        own.add(f"n|{f}|{i}")
+                        own |= set() if slips else {f"a|{a}|{i}|{e}" for a in affs if a for e in ("^" + f[:1], f[-1:] + "$")}
+                        own |= {f"v|{v}|{i}" for v in _variants(f)} if slips else {f"n|{f}|{i}"}
                 keys += own
                 at += [r] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *[c.take(pa.array(at, pa.int64())) for c in b.columns]], names=["key", *b.schema.names])
@@ -399,6 +408,8 @@ def resolve_entities(entries: DataFrame, id_col: str = "author_id", name_col: st
                 return []
             if key[0] == "o":
                 return [(items[0].cid, p.cid) for p in items[1:]]
+            if key[0] == "v":
+                return list(_slipped(items))
             return list(_unplaced(items) if key[0] == "n" else _placed(items))
 
         key, items = None, []
@@ -418,6 +429,10 @@ def resolve_entities(entries: DataFrame, id_col: str = "author_id", name_col: st
         profiles = forms.groupBy("cid").agg(*[F.array_sort(F.collect_set(c)).alias(n) for c, n in (("fam", "fams"), ("given", "givens"), ("mids", "mids"), ("init", "inits"))], *[F.filter(F.collect_set(c), lambda x: x != "").alias(n) for c, n in (("aff", "affs"), ("orcid", "orcids"))])
         posted = profiles.mapInArrow(post, f"key string, cid long, {lists}").repartition("key").sortWithinPartitions("key", "cid")
         links = checkpoint(posted.mapInArrow(link, "a long, b long").filter("a != b").distinct())
+        if links.isEmpty():  # then slips in names without affiliation, where one profile fits over all blocks
+            posted = profiles.mapInArrow(lambda b: post(b, True), f"key string, cid long, {lists}").repartition("key").sortWithinPartitions("key", "cid")
+            fits = posted.mapInArrow(link, "a long, b long").distinct().groupBy("a").agg(F.min("b").alias("b"), F.count(F.lit(1)).alias("n"))
+            links = checkpoint(fits.filter("n = 1").select("a", "b"))
         if links.isEmpty():
             break
         roots = components(links)

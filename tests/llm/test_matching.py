@@ -185,3 +185,9 @@ def test_citation_counts_beside_a_garbled_title(spark):
     r = spark.createDataFrame([(i, f"A. Bor. {TEMPLATE.format(w)}. 2010", TEMPLATE.format("xq" + w[2:-2] + "qx"), 2010, None, None, None) for i, w in enumerate(rare)], REF_SCHEMA)
     got = {x.ref_row_id: x.paper_id for x in refmatch.match(template_papers(spark, rare), r).collect()}
     assert got == {i: f"p{i}" for i in range(len(rare))}
+
+
+def test_slipped_family_without_affiliation(spark):
+    rows = [(1, "Fokzorras, Odile", "TU Brask", None), (2, "Fpkzorras, Odile", None, None), (3, "Vindala, Maria", "TU Brask", None), (4, "Vindela, Maria", "TU Velmar", None), (5, "Vindila, Maria", None, None)]
+    df = spark.createDataFrame(rows, "author_id long, author_name string, affiliation string, orcid string")
+    assert {tuple(r) for r in names.entity_pairs(df).collect()} == {(1, 2)}  # 5 fits two
