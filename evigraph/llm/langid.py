@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import lru_cache
 
+import numpy as np
 import regex
 
 #: Three-letter codes and function words that tell the Latin-script languages apart.
@@ -21,16 +23,19 @@ WORDS = {
     "es": "el los las se del en la y con fue según por una antes como veces".split(),
 }
 _BEYOND = re.compile(r"[Ѐ-ӿऀ-ॿ฀-๿぀-ヿ㐀-鿿豈-﫿]")
-_RUNS = {
-    "kana": regex.compile(r"[\p{Hiragana}\p{Katakana}]+"),
-    "zh": regex.compile(r"\p{Han}+"),
-    "ru": regex.compile(r"\p{Cyrillic}+"),
-    "hi": regex.compile(r"\p{Devanagari}+"),
-    "th": regex.compile(r"\p{Thai}+"),
-}
-_WORD = re.compile(r"[a-zà-ɏ]+")
+#: Rows of 32 code points: (first, end) of the blocks of each script.
+_ROWS = {"kana": [(0x3040, 0x3100)], "zh": [(0x3400, 0x4DC0), (0x4E00, 0xA000), (0xF900, 0xFB00)], "ru": [(0x400, 0x520)], "hi": [(0x900, 0x980)], "th": [(0xE00, 0xE80)], "latin": [(0x40, 0x80), (0xC0, 0x260)]}
+#: Word -> the languages it tells of.
+_TELLS = {w: tuple(l for l, ws in WORDS.items() if w in ws) for w in sorted({w for ws in WORDS.values() for w in ws})}
+
+
+def _scripts(text: str) -> dict[str, int]:
+    """Characters of each script."""
+    rows = np.bincount(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4") >> 5, minlength=0x800)
+    return {k: int(sum(rows[a >> 5 : b >> 5].sum() for a, b in spans)) for k, spans in _ROWS.items()}
 
 
+@lru_cache(maxsize=4096)
 def canonical_lang(code: str | None) -> str | None:
     """Two-letter code of a stated language, or null."""
     if not code:
@@ -45,22 +50,19 @@ def detect(text: str | None, stated: str | None = None) -> str:
     said = canonical_lang(stated)
     if not text or not text.strip():
         return said or "und"
-    size = {k: 0 for k in _RUNS}
+    other, best = {}, ""
     if not text.isascii() and _BEYOND.search(text):
-        for k, r in _RUNS.items():
-            size[k] = sum(map(len, r.findall(text)))
-    east = size["kana"] + size["zh"]
-    other = {"ja" if size["kana"] * 20 > east else "zh": east * 3, "ru": size["ru"], "hi": size["hi"], "th": size["th"]}
-    best = max(other, key=other.__getitem__)
-    words = _WORD.findall(text.lower())
-    latin = sum(map(len, words))
-    if other[best] and other[best] * 2 >= latin:
-        return best
-    count = Counter(words)
-    score = {l: sum(count[w] for w in ws) for l, ws in WORDS.items()}
+        size = _scripts(text)
+        east = size["kana"] + size["zh"]
+        other = {"ja" if size["kana"] * 20 > east else "zh": east * 3, "ru": size["ru"], "hi": size["hi"], "th": size["th"]}
+        best = max(other, key=other.__getitem__)
+        if other[best] and other[best] * 2 >= size["latin"]:
+            return best
+    count = Counter(map(_TELLS.get, text.lower().split()))
+    score = {l: sum([n for tells, n in count.items() if tells and l in tells]) for l in WORDS}
     top = sorted(score.items(), key=lambda x: -x[1])
     if top[0][1] >= 2 and top[0][1] > 1.5 * top[1][1]:
         return top[0][0]
-    if said in WORDS or said and not other[best]:
+    if said in WORDS or said and not other.get(best):
         return said
-    return top[0][0] if top[0][1] else (best if other[best] else said or "und")
+    return top[0][0] if top[0][1] else (best if other.get(best) else said or "und")
