@@ -10,10 +10,13 @@
    found, truncation, year distance, first author, venue. Words compare by edit distance and as
    abbreviations.
 4. A logistic classifier is trained on weak labels: pairs that an identifier names, against
-   other candidates of the same references (a bounded sample of ``sample_refs`` references).
+   other candidates of the same references (a bounded sample of ``sample_refs`` references, at most
+   ``SAMPLE_PAIRS`` labels each, their features made on the executors).
    Half of the sample fits, the other half calibrates (Platt).
-5. An agreeing identifier adds evidence; a contradicting one decides nothing. The most probable
-   candidate of at least ``threshold`` is the match.
+5. An agreeing identifier adds evidence (three units of log odds) to the choice; a contradicting one
+   decides nothing. The best candidate whose score reaches ``threshold`` is the match. Its
+   confidence is the calibrated probability by text, authors, year and venue alone, so a match that
+   rests on its identifier can show one below ``threshold``.
 
 Null fields and empty texts are missing evidence; a reference without any gets no row. Repeated
 rows of a reference are harmless: its best candidate over all of them counts once. Empty tables
@@ -33,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigraph.session import checkpoint
@@ -41,7 +44,7 @@ from evigraph.sources import hash_sample
 
 COMMON_SHARE, COMMON_LEAST = 0.001, 12
 WARM_SHARE, WARM_LEAST = 0.0001, 64
-SAMPLE_REFS = 6_000
+SAMPLE_REFS, SAMPLE_PAIRS = 6_000, 64
 #: Words that carry no content in a title or a citation.
 STOP = set("a an the of and in on for with to from by at as or et al others amp beta b in".split())
 ROMAN = regex.compile(r"(?:i{1,3}|iv|v|vi{1,3}|ix|x)$")
@@ -515,30 +518,39 @@ def match(papers: DataFrame, refs: DataFrame, authors: DataFrame | None = None,
     def rows_of(b: pa.RecordBatch) -> Iterator[tuple]:
         return zip(*(c.to_pylist() for c in b.columns))
 
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rid, xs, ys = [], [], []
+            for v in rows_of(b):
+                named = v[1] in identifiers(v[9], v[10], v[11])
+                f = features(Paper(v[2], v[3], v[4], v[5], shared.value), Reference(v[6], v[7], v[8], shared.value), shared.value)
+                if named and f[2] < 0.4 and not f[5]:
+                    continue  # the identifier contradicts the text: no label
+                if named and f[5] and not ((f[9] or f[10]) and (f[6] or f[7])):
+                    continue
+                if not named and f[0] + f[1] == 0 and f[5] == 0:
+                    continue  # an identifier may be wrong
+                rid.append(v[0])
+                xs.append(f)
+                ys.append(float(named and (bool(f[5]) or f[0] + f[1] < 4)))
+            yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(xs, pa.list_(pa.float64())), pa.array(ys, pa.float64())], names=["ref_row_id", "x", "y"])
+
+    # features are made on the executors; at most SAMPLE_PAIRS labels of a sampled reference reach the driver
     sample = hash_sample(slim.filter("doi is not null or arxiv_id is not null or pmc_id is not null"), "ref_row_id", sample_refs)
-    xs, ys, folds = [], [], []
-    for r in pairs_of(sample).select(*order).toPandas().itertuples(index=False):
-        v = [None if x is None or x != x else x for x in r]
-        named = v[1] in identifiers(v[9], v[10], v[11])
-        f = features(Paper(v[2], v[3], v[4], v[5], common), Reference(v[6], v[7], v[8], common), common)
-        if named and f[2] < 0.4 and not f[5]:
-            continue  # the identifier contradicts the text: no label
-        if named and f[5] and not ((f[9] or f[10]) and (f[6] or f[7])):
-            continue
-        if not named and f[0] + f[1] == 0 and f[5] == 0:
-            continue  # an identifier may be wrong
-        xs.append(f)
-        ys.append(float(named and (bool(f[5]) or f[0] + f[1] < 4)))
-        folds.append(v[0] % 2)
+    labelled = pairs_of(sample).select(*order).mapInArrow(label, "ref_row_id long, x array<double>, y double")
+    few = Window.partitionBy("ref_row_id").orderBy(F.desc("y"), F.xxhash64("x"))
+    got = labelled.withColumn("_n", F.row_number().over(few)).filter(F.col("_n") <= SAMPLE_PAIRS).select("ref_row_id", "x", "y").orderBy("ref_row_id", "x").collect()
+    xs, ys, folds = [r["x"] for r in got], [r["y"] for r in got], [r["ref_row_id"] % 2 for r in got]
     model = train(np.array(xs), np.array(ys), np.array(folds)) if len(xs) > 80 else (DEFAULT, 1.0, 0.0)
     learned = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, slope, constant = learned.value
         weights = w.tolist()
+        least = math.log(threshold / (1 - threshold))
         papers_seen: dict[str, Paper] = {}
         for b in batches:
-            rid, pid, conf = [], [], []
+            rid, pid, rank, conf = [], [], [], []
             last, ref = None, None
             for v in rows_of(b):
                 if v[0] != last:
@@ -553,12 +565,17 @@ def match(papers: DataFrame, refs: DataFrame, authors: DataFrame | None = None,
                     continue
                 z = slope * (sum([a * b for a, b in zip(f, weights)]) + weights[-1]) + constant
                 if v[1] in identifiers(v[9], v[10], v[11]) and (f[2] >= 0.6 and f[0] + f[1] <= 2 or f[5] and (f[6] or f[7] or f[9] or f[10] or not (v[6] or "").strip())):
-                    z += 3.0
+                    chosen = z + 3.0  # the choice weighs an agreeing identifier, the confidence does not
+                else:
+                    chosen = z
+                if chosen < least:
+                    continue
                 rid.append(v[0])
                 pid.append(v[1])
+                rank.append(-chosen)
                 conf.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-            yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(pid, pa.string()), pa.array(conf, pa.float64())], names=["ref_row_id", "paper_id", "confidence"])
+            yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(pid, pa.string()), pa.array(rank, pa.float64()), pa.array(conf, pa.float64())], names=["ref_row_id", "paper_id", "rank", "confidence"])
 
-    scored = pairs_of(slim).select(*order).mapInArrow(score, "ref_row_id long, paper_id string, confidence double").filter(F.col("confidence") >= threshold)
-    best = scored.groupBy("ref_row_id").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "paper_id")).alias("m"))
-    return best.select("ref_row_id", F.col("m.paper_id").alias("paper_id"), F.round(-F.col("m.c"), 4).alias("confidence"))
+    scored = pairs_of(slim).select(*order).mapInArrow(score, "ref_row_id long, paper_id string, rank double, confidence double")
+    best = scored.groupBy("ref_row_id").agg(F.min(F.struct("rank", "paper_id", "confidence")).alias("m"))
+    return best.select("ref_row_id", F.col("m.paper_id").alias("paper_id"), F.round("m.confidence", 4).alias("confidence"))

@@ -1,7 +1,7 @@
 """Sentence units of texts in any script, with their places.
 
-Terminators come from the character property Sentence_Terminal and its full-width and danda
-forms; Thai, which has none, ends a sentence at white space between Thai letters. The standard
+Terminators are the characters of the property Sentence_Terminal, the ellipsis and, in Devanagari,
+the vertical bar; Thai, which has none, ends a sentence at white space between Thai letters. The standard
 break rules are refined by:
 
 * layout - an empty line always ends a unit; a single line break only around list items and
@@ -40,22 +40,25 @@ NEVER = {
 }
 #: Abbreviations and units that end a sentence only before a capital.
 MAYBE = {
-    "en": "etc al a.m p.m inc ltd corp co ff s.d s.e.m ed u.s e.u ph.d min max hr hrs sp spp p.o i.v i.p s.c wt jr sr bio",
+    "en": "etc al a.m p.m inc ltd corp co ff s.d s.e.m ed u.s e.u ph.d min max hr hrs sp spp p.o i.v i.p s.c wt jr sr bio s.a",
     "de": "usw etc min h s std u.s.w ff co ltd inc corp v.chr al sek",
     "fr": "etc al co ltd inc corp s.a min h",
     "es": "etc ss uu al co ltd inc corp s.a min h vd ud",
-    "ru": "др г след гг в вв мин с ч руб тыс млн",
+    "ru": "др г след гг в вв мин с ч руб тыс млн inc ltd corp co s.a",
     "hi": "",
 }
 #: Capitalised words after 'a.m.'/'p.m.' and dates that go on, and words that open sentences.
 DAYS = set("monday tuesday wednesday thursday friday saturday sunday januar februar märz april mai juni juli august september oktober november dezember january february march june july october december".split())
 OPENERS = set("the a an we in on at as for all after before by with this these those it they two no to from was is if when while see each both cells data samples images animals values settings by unless briefly der die das den dem am im ein eine für laut zum zur vgl ca les le la l’étiquette au à il elle des une un el los las un una en como se según".split())
 _ORDINAL_BEFORE = set("am die der das dem den des im vom zum beim bis ab jede jeder jedes seit".split())
-_TERM = regex.compile(r"[.!?…。！？｡．।॥؟۔։።|]+")
+_TERM = regex.compile(r"[\p{Sentence_Terminal}…．|]+")
+#: Marks that can stand inside a sentence; every other terminator ends one wherever it stands.
+_WEAK = ".!?…"
 _PARA = regex.compile(r"[^\S\n\r]*(?:\r\n|\n|\r| )[^\S\n\r]*(?:\r\n|\n|\r| )\s*|\s* \s*|\s*\f\s*")
 _LINE = regex.compile(r"[^\S\n\r]*(?:\r\n|\n|\r| )\s*")
 _ITEM = regex.compile(r"(?:[•‣▪◦●○·*∙–—‐-]\s+|\(?(?:\d{1,3}|[a-zA-Z]|[ivxIVX]{1,4})[.)]\s+|[①-⑳]\s*)\S")
-_OPEN_END = regex.compile(r"(?i:\b(?:nr|no|fig|figs|abb|tab|tabl|kap|vol|pp|p|cap|pág|núm|eq|ref|refs|sec|sect|ca|approx|env|aprox|рис|табл|стр|д)\.)$")
+_OPEN_END = regex.compile(r"(?i:\b(?:nr|no|fig|figs|abb|tab|tabl|kap|vol|pp|p|cap|pág|núm|eq|ref|refs|sec|sect|ca|approx|env|aprox|рис|табл|стр|д)\.|\b[zdui]\.)$")
+_NUMBERED = regex.compile(r"(?:\p{Lu}\p{L}*\p{Lu}\p{L}*|\b(?i:type|phase|class|grade|stage|table|part))$")
 _DASH_ITEM = regex.compile(r"[–—‐-]\s")
 _ENDS = regex.compile(r"[.!?…。！？｡．।॥|:：;][\"'”’»“)\]」』）]*(?:\[[^\]\n]{1,30}\]|\d{1,3}(?:,\s?\d{1,3})*)?$")
 _CLOSE = regex.compile(r"(?:[\"”’'»)\]」』）】》〉]|“(?!\w)|[   ]»)+")
@@ -142,7 +145,7 @@ def _ends(s: str, lang: str) -> list[int]:
         dot = mark == "."
         if not before or (mark == "." and (before.isspace() or before in "<>=≤≥~±(–-×" and s[j : j + 1].isdigit())):  # .5 mg
             continue
-        cjk = bool(_CASELESS.match(before)) or mark[0] in "。！？｡．।॥"
+        cjk = bool(_CASELESS.match(before)) or mark[0] not in _WEAK and mark[0] != "|"
         # citation marks and note numbers directly after the final mark
         cite = _MARK.match(s, end) if nxt and (nxt == "[" or nxt.isdigit() or nxt in "⁰¹²³⁴⁵⁶⁷⁸⁹") else None
         word = _WORDBACK.search(s[max(at, i - 60) : i])
@@ -163,7 +166,7 @@ def _ends(s: str, lang: str) -> list[int]:
             # a boundary without white space
             if nxt in ",;:)]}，；：、）」』”»—–-/%":
                 continue
-            if mark[0] in "。！？｡．।॥":
+            if mark[0] not in _WEAK and mark[0] != "|":
                 pass
             elif mark[0] == "…" and _CASELESS.match(nxt) or dot and regex.match(r"\p{Thai}", before):
                 continue
@@ -216,7 +219,7 @@ def _ends(s: str, lang: str) -> list[int]:
             continue
         if first in ",;:)]»”":
             continue
-        if mark[0] in "。！？｡．।॥|":
+        if mark[0] not in _WEAK:
             if holder and c and s[holder[0]] not in "(（[" and not _colon(s, holder[0]):
                 continue
             out.append(end)
@@ -247,7 +250,7 @@ def _ends(s: str, lang: str) -> list[int]:
             out.append(end)
             at = end
             continue
-        if _abbreviation(s, i, w, lw, rest, nw, (upper and first not in "([") or lowup, lang, never, maybe):
+        if _abbreviation(s, i, w, lw, rest, nw, (upper and first not in "([（" or _opens(s, k, pairs.get(k))) or lowup, lang, never, maybe):
             continue
         out.append(end)
         at = end
@@ -257,6 +260,16 @@ def _ends(s: str, lang: str) -> list[int]:
     return sorted(set(out))
 
 
+def _opens(s: str, k: int, closing: int | None) -> bool:
+    """Whether the bracket at k starts a sentence: it holds one of its own, or a capitalised word follows it."""
+    if closing is None or s[k] not in "(（":
+        return False
+    if s[closing - 1] in ".!?。！？" and s[k + 1].isupper():
+        return True
+    after = s[closing + 1 : closing + 4].lstrip()
+    return s[closing + 1 : closing + 2].isspace() and after[:1].isupper()
+
+
 def _colon(s: str, opening: int) -> bool:
     """Whether a colon introduces the quote that opens here."""
     k = opening - 1
@@ -304,6 +317,8 @@ def _abbreviation(s: str, i: int, w: str, lw: str, rest: str, nw: str, upper: bo
         if w[-1].isupper():  # an initial, unless a known word opens the next sentence
             if prior.endswith("°"):
                 return False
+            if core in "ivx" and upper and _NUMBERED.search(prior):
+                return False
             return nw.lower() not in OPENERS or not upper or len(nw) < 2 and nw != "A"
         return not (upper and quantity)
     if regex.fullmatch(r"(?:\p{L}{1,2}\.)+\p{L}{1,3}", core):  # dotted

@@ -5,7 +5,7 @@ full-width mark 1, none 0). A sparse table over the strengths answers range-maxi
 constant time, ties going right. From a piece's start the strongest cut within the permissible
 window of lengths is taken; the next piece starts ``overlap`` code points before it.
 
-``cut_kind``: a text with a stretch of more than ``limit`` code points holding neither white
+``cut_kind`` asks the same kind of table for the strongest mark in every window: a text with a stretch of more than ``limit`` code points holding neither white
 space nor a sentence mark cannot be cut naturally everywhere ('forced'); any other is 'natural'.
 Nulls and texts within the limit give no pieces in ``split_long``; lengths are code points.
 """
@@ -26,6 +26,7 @@ MARKS = ".!?。！？｡．।"
 _SENTENCE_END = regex.compile(r"[.!?。！？｡．।…][\"'”’»)\]」』）]*(?=\s|\p{Lo}|$)")
 _CLAUSE = regex.compile(r"[;:,；：，、–—](?=\s|\p{Lo})")
 _SPACE = regex.compile(r"\s+")
+_BREAK = regex.compile(rf"[\s{regex.escape(MARKS)}]+")
 
 
 def strengths(text: str) -> np.ndarray:
@@ -67,6 +68,16 @@ class RangeMax:
         return best % (self.n + 1)
 
 
+def window_max(values: np.ndarray, width: int) -> np.ndarray:
+    """Maximum of every window of ``width`` values: the one level of the sparse table that serves this width."""
+    w, level = 1, values
+    while 2 * w <= width:
+        level = np.maximum(level[: len(level) - w], level[w:])
+        w *= 2
+    k = len(values) - width + 1
+    return np.maximum(level[:k], level[width - w : width - w + k])
+
+
 def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP, least: float = 0.5) -> list[tuple[int, int, int]]:
     """(start, end, strength of the end) of each piece; at most ``limit`` long, ``overlap`` shared.
 
@@ -97,13 +108,14 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP, least: float =
         start = end - overlap
 
 
-def forced_stretch(limit: int = LIMIT) -> str:
-    """A Java pattern that finds a stretch of more than ``limit`` code points without any natural cut."""
-    return rf"(?U)[^\s{regex.escape(MARKS)}]{{{limit + 1}}}"
-
-
 def cut_kind(text: str, limit: int = LIMIT) -> str:
-    return "forced" if any(len(x) > limit for x in regex.split(rf"[\s{regex.escape(MARKS)}]+", text)) else "natural"
+    """'forced' if some window of limit + 1 code points holds neither white space nor a sentence mark."""
+    if len(text) <= limit:
+        return "natural"
+    breaks = np.zeros(len(text), np.int8)
+    for m in _BREAK.finditer(text):
+        breaks[m.start() : m.end()] = 1
+    return "natural" if window_max(breaks, limit + 1).all() else "forced"
 
 
 def split_long(df: DataFrame, id_col: str, text_col: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:

@@ -1,4 +1,5 @@
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -52,3 +53,14 @@ def test_rows(spark):
     assert {tuple(r) for r in got.collect()} == {("a", 0, 0, 4), ("a", 1, 5, 9)}
     assert sentence_units(df.limit(0), "paper_id", "methods_text").count() == 0
     assert len(units("A sentence. " * 20_000)) == 20_000
+
+
+def test_every_terminator_ends_a_sentence():
+    marks = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and regex.match(r"\p{Sentence_Terminal}", chr(c))]
+    assert len(marks) > 150
+    assert [m for m in marks if cut(f"Aaaa bbb{m} Cccc dd{m}") != [f"Aaaa bbb{m}", f"Cccc dd{m}"]] == []
+
+
+def test_brackets_and_numerals():
+    assert cut("It was p < .060. (All were cold.) Then No. 6.\n(Group 7) The probe.") == ["It was p < .060.", "(All were cold.)", "Then No. 6.", "(Group 7) The probe."]
+    assert cut("From Nord Corp. (Ulfstad). It had DNase I. Then M. I. Smith left.") == ["From Nord Corp. (Ulfstad).", "It had DNase I.", "Then M. I. Smith left."]
