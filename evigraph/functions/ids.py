@@ -99,8 +99,21 @@ def is_public_address(ip: Column) -> Column:
     return ~inside
 
 
+def is_public_ipv6(ip: Column) -> Column:
+    """Whether an IPv6 literal lies in the global unicast range and outside its documentation, tunnel and 6to4 parts."""
+    low = F.lower(ip)
+    return low.rlike(r"^[23][0-9a-f]{3}:[0-9a-f:]*$") & ~low.rlike(r"^(?:2001:(?:0?db8|0{0,3}[0-9a-f]?[0-9a-f]?|01[0-9a-f]{2}|1[0-9a-f]{2}):|2001::|2002:|3fff:)")
+
+
 def acceptable_url(url: Column) -> Column:
-    """http or https, without credentials, not to a reserved numeric address or the local host."""
-    host = F.try_parse_url(url, F.lit("HOST"))
-    numeric = host.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$")
-    return F.coalesce(F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))).isin("http", "https") & F.try_parse_url(url, F.lit("USERINFO")).isNull() & host.isNotNull() & (F.lower(host) != "localhost") & (~numeric | is_public_address(host)), F.lit(False))
+    """http or https, without credentials, to a plain name or a public address written the usual way.
+
+    A host whose last label does not start with a letter is an address; anything but four decimal parts
+    (one integer, hexadecimal, fewer parts) is refused, as are the local host and null or broken URLs.
+    """
+    host = F.lower(F.try_parse_url(url, F.lit("HOST")))
+    numeric = host.rlike(r"^(?:0|[1-9][0-9]{0,2})(?:\.(?:0|[1-9][0-9]{0,2})){3}$")
+    named = host.rlike(r"^(?:[\p{L}\p{N}_-]+\.)*\p{L}[\p{L}\p{N}-]*\.?$") & ~host.rlike(r"(?:^|\.)localhost\.?$")
+    six = host.rlike(r"^\[.*\]$") & is_public_ipv6(F.regexp_extract(host, r"^\[(.*)\]$", 1))
+    ok = F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))).isin("http", "https") & F.try_parse_url(url, F.lit("USERINFO")).isNull()
+    return F.coalesce(ok & F.when(numeric, is_public_address(host)).otherwise(named | six), F.lit(False))

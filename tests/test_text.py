@@ -104,3 +104,13 @@ def test_stems(spark):
     docs = spark.createDataFrame([(1, "washing of cells"), (2, "frozen"), (3, None)], "id int, t string")
     q = spark.createDataFrame([(9, "washed cell")], "q int, x string")
     assert [r.id for r in retrieve.bm25(docs, ["id"], "t", q, "q", "x", 5, analyze=english_terms).collect()] == [1]
+
+
+def test_address_guard_refuses_odd_forms(spark):
+    rows = [
+        ("http://[::1]/x", False), ("http://[fd00::1]/", False), ("http://[fe80::1]/", False), ("http://[::ffff:10.0.0.1]/", False), ("http://[2001:db8::1]/", False), ("http://[2002:7f00:1::]/", False),
+        ("http://[2606:4700::1111]/a.pdf", True), ("http://2130706433/", False), ("http://0x7f000001/", False), ("http://127.1/", False), ("http://0177.0.0.1/", False), ("http://8.8.8.8/a", True), ("http://10.1.2.3/", False),
+        ("https://localhost./", False), ("https://a.localhost/", False), ("https://data.example.org/x", True), ("ftp://data.example.org/x", False), ("https://u@data.example.org/", False), (None, False), ("", False),
+    ]
+    df = spark.createDataFrame(rows, "u string, want boolean")
+    assert df.filter(ids.acceptable_url(F.col("u")) != F.col("want")).collect() == []
