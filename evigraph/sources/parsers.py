@@ -26,6 +26,10 @@ _BIBLIOGRAPHY = re.compile(r"^\d+\.\s+[A-Z][A-Za-z'-]+,\s+[A-Z]\.")
 PREFERRED, SUPPLEMENT = ("pdf", "full", "article", "download", "fulltext"), ("supplement", "appendix", "suppl")
 
 
+#: Papers that may be given to every task.
+MOST_BUNDLED = 10_000
+
+
 def paper_files(spark: SparkSession, folder: str) -> DataFrame:
     """Papers of a folder of JSON files, a missing ingest time filled with now, with each file's path."""
     p = spark.read.schema(PAPER_JSON).option("multiLine", True).json(folder)
@@ -39,10 +43,12 @@ def methods_text(sections: Column) -> Column:
 def find_paper(idents: DataFrame, papers: DataFrame) -> DataFrame:
     """(ident, paper_id, rule): bundled paper an identifier names: its id, id without scheme, alias, title, two shared words, author and year; the first rule, then the first file wins.
 
-    The bundled papers are a small fixed set, given to every task.
+    The bundled papers are a small fixed set, given to every task; more than ``MOST_BUNDLED`` are an error.
     """
     from evigraph.functions.text import author_year, share_distinctive_token
 
+    if papers.select("paper_id").limit(MOST_BUNDLED + 1).count() > MOST_BUNDLED:
+        raise ValueError(f"more than {MOST_BUNDLED} bundled papers: match them by retrieve.best_paper or a keyed join")
     p = F.broadcast(papers.select("paper_id", "title", "aliases", "year", F.try_element_at("authors", F.lit(1))["name"].alias("author"), "file"))
     i, low = F.col("ident"), F.lower("ident")
     rule = (
