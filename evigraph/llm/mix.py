@@ -10,7 +10,8 @@ Rates become whole numbers of copies by error diffusion within (source, bucket),
 first, so that the tokens meet the fitted ones closely; hot sources have many buckets.
 
 Sources without usable documents cannot have a share: the others keep their proportions, and the
-report shows 0. Sources without a target get no copies. Null and empty texts have no tokens and
+report shows 0; a source with classified documents only counts as empty, since a posterior alone is no
+proof that it can carry a share. Sources without a target get no copies. Null and empty texts have no tokens and
 get no copies. Without ``total`` the mixture is the largest at which no source exceeds its repeats.
 """
 
@@ -25,8 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm.token_budget import canonical_source, document_tokens
-from evigraph.session import checkpoint
+from evigraph.llm.token_budget import PART, canonical_source, document_tokens
+from evigraph.session import checkpoint, spread
 from evigraph.sources import hash_sample
 
 FEATURES, SAMPLE_DOCS, STEPS, TOLERANCE, BUCKET = 4096, 5_000, 40, 1e-6, 4_000
@@ -112,21 +113,24 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, vo
     """(doc_id, source, n_tokens, rate, copies) of every document with at least one copy."""
     goals = targets.select(canonical_source(F.col("source")).alias("source"), "target_share", "max_repeats").dropDuplicates(["source"]).orderBy("source").collect()  # a short list by nature
     names = [g["source"] for g in goals]
-    docs = documents.select("doc_id", "text", canonical_source(F.col("source")).alias("source")).dropDuplicates(["doc_id"])
-    counted = checkpoint(document_tokens(docs, "doc_id", "text", ("source",), vocabulary=vocabulary).filter("n_tokens > 0"))
+    docs = documents.select("doc_id", "text", canonical_source(F.col("source")).alias("source"))
+    # repeated rows are dropped after counting, when texts are gone; only long texts, which are counted in parts, before
+    long = F.coalesce(F.length("text"), F.lit(0)) > PART
+    once = spread(docs.filter(~long)).unionByName(docs.filter(long).dropDuplicates(["doc_id"]))
+    counted = checkpoint(document_tokens(once, "doc_id", "text", ("source",), vocabulary=vocabulary).filter("n_tokens > 0").dropDuplicates(["doc_id"]))
     hot = F.array(*[F.when(F.col("source") == n, 1.0).otherwise(0.0) for n in names]) if names else F.array().cast("array<double>")
     known = counted.filter(F.col("source") != "unknown").withColumn("p", hot).filter(F.exists("p", lambda x: x > 0))
     lost = counted.filter(F.col("source") == "unknown").select("doc_id", "n_tokens")
-    guess = predicted(docs.filter(F.col("source") == "unknown"), docs.filter(F.col("source") != "unknown"), names, "doc_id", "text")
+    guess = predicted(docs.filter(F.col("source") == "unknown"), docs.filter(F.col("source") != "unknown"), names, "doc_id", "text").dropDuplicates(["doc_id"])
     soft = checkpoint(lost.join(guess, "doc_id").withColumn("source", F.lit("unknown")).select("doc_id", "source", "n_tokens", "p"))
     caps = F.array(*[F.lit(float(g["max_repeats"])) for g in goals]) if names else F.array().cast("array<double>")
     # a document of uncertain source may be repeated as often as its least generous likely source allows
     own_cap = F.array_min(F.zip_with("p", caps, lambda a, c: F.when(a > 0.05, c).otherwise(F.lit(float("inf")))))
     units = known.groupBy("p").agg(F.sum("n_tokens").cast("double").alias("tokens")).unionByName(soft.select("p", F.col("n_tokens").cast("double").alias("tokens")))
     units = checkpoint(units.withColumn("cap", F.when(own_cap < float("inf"), own_cap).otherwise(0.0)))
-    expected, reach = np.zeros(len(names)), np.zeros(len(names))
-    for r in units.select(F.posexplode(F.transform("p", lambda x: F.struct((x * F.col("tokens")).alias("e"), (x * F.col("tokens") * F.col("cap")).alias("c")))).alias("s", "v")).groupBy("s").agg(F.sum("v.e").alias("e"), F.sum("v.c").alias("c")).collect():
-        expected[r["s"]], reach[r["s"]] = r["e"], r["c"]
+    expected = np.zeros(len(names))
+    for r in units.select(F.posexplode(F.transform("p", lambda x: x * F.col("tokens"))).alias("s", "v")).groupBy("s").agg(F.sum("v").alias("e")).collect():
+        expected[r["s"]] = r["e"]
     sure = np.zeros(len(names))
     for r in known.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect():
         sure[names.index(r["source"])] = r["t"]
