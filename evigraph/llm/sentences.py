@@ -20,7 +20,9 @@ Null, empty and blank texts have no units.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -68,9 +70,12 @@ _LOWUP = regex.compile(r"[a-zα-ω]{1,3}[A-ZА-Я][\w-]*")
 _CASELESS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Devanagari}\p{Thai}\p{Arabic}\p{Hebrew}]")
 _THAI = regex.compile(r"(?<=[\p{Thai}])\s+(?=[\p{Thai}])")
 _PAIRS = {"(": ")", "（": "）", "[": "]", "«": "»", "“": "”", "„": "“", "「": "」", "『": "』", "《": "》", "【": "】"}
+_PAIRED = re.compile("[" + re.escape("".join({*_PAIRS, *_PAIRS.values(), '"'})) + "]")
 _DIGITS = regex.compile(r"\d+$")
 _WIDTH, _HEADING = 48, 36
 
+_rx = lru_cache(maxsize=256)(regex.compile)  # the library's own cache costs more than the searches here
+
 
 def _lexicon(lang: str) -> tuple[frozenset, frozenset]:
     langs = [lang] if lang in NEVER else list(NEVER)
@@ -92,7 +97,8 @@ def _pairs(s: str) -> dict[int, int]:
     out: dict[int, int] = {}
     stack: list[tuple[str, int]] = []
     straight = -1
-    for i, ch in enumerate(s):
+    for m in _PAIRED.finditer(s):
+        i, ch = m.start(), m.group()
         if ch == '"':
             if straight < 0:
                 straight = i
@@ -116,21 +122,26 @@ def _ends(s: str, lang: str) -> list[int]:
     never, maybe = _LEX.get(lang) or _LEX.setdefault(lang, _lexicon(lang))
     pairs = _pairs(s)
     inside: list[tuple[int, int]] = sorted(pairs.items())
-    hindi = regex.search(r"\p{Devanagari}", s) is not None
+    hindi = _rx(r"\p{Devanagari}").search(s) is not None
     out: list[int] = []
-    n, at = len(s), 0
+    n, at, closed = len(s), 0, 0
     for m in _TERM.finditer(s):
         i, j = m.span()
         if i < at:
             continue
         mark = m.group()
-        if "|" in mark and not (hindi and set(mark) == {"|"} and i and (regex.match(r"[\p{Devanagari}\]\")]", s[i - 1]))):
+        if "|" in mark and not (hindi and set(mark) == {"|"} and i and (_rx(r"[\p{Devanagari}\]\")]").match(s[i - 1]))):
             continue
         c = _CLOSE.match(s, j)
         end = c.end() if c else j
         # a mark within a closed pair that does not reach the pair's end
         holder = None
-        for a, b in inside:
+        while closed < len(inside) and inside[closed][1] <= i:  # closed before this mark and all later ones
+            closed += 1
+        for a, b in inside[closed : closed + 1] or ():
+            if a < i < b:
+                holder = (a, b)
+        for a, b in inside[closed + 1 :] if not holder and closed < len(inside) and inside[closed][0] < i else ():
             if a < i < b:
                 holder = (a, b)
                 break
@@ -151,11 +162,11 @@ def _ends(s: str, lang: str) -> list[int]:
         word = _WORDBACK.search(s[max(at, i - 60) : i])
         w = word.group() if word else ""
         if not hindi and _CASELESS.search(w):
-            w = regex.search(r"[\p{Latin}\d.]*$", w).group()
-        w = w[regex.match(r"(?:\p{L}[’'])?", w).end() :] or w
+            w = _rx(r"[\p{Latin}\d.]*$").search(w).group()
+        w = w[_rx(r"(?:\p{L}[’'])?").match(w).end() :] or w
         lw = w.lower().lstrip("([{\"'«“„")
         if cite and nxt.isdigit():
-            ok = not mark[0] == "." or (not before.isdigit() and "/" not in w and lw not in never and lw not in maybe and not (len(w) == 1 and w.isupper()) and not regex.search(r"\d", w.rstrip(")%]")[:1] or "") and not regex.search(r"[a-z]\.[a-z]", lw))
+            ok = not mark[0] == "." or (not before.isdigit() and "/" not in w and lw not in never and lw not in maybe and not (len(w) == 1 and w.isupper()) and not _rx(r"\d").search(w.rstrip(")%]")[:1] or "") and not _rx(r"[a-z]\.[a-z]").search(lw))
             if cjk and mark[0] == ".":
                 ok = False
             cite = cite if ok else None
@@ -168,7 +179,7 @@ def _ends(s: str, lang: str) -> list[int]:
                 continue
             if mark[0] not in _WEAK and mark[0] != "|":
                 pass
-            elif mark[0] == "…" and _CASELESS.match(nxt) or dot and regex.match(r"\p{Thai}", before):
+            elif mark[0] == "…" and _CASELESS.match(nxt) or dot and _rx(r"\p{Thai}").match(before):
                 continue
             elif _CASELESS.match(nxt):
                 if not (cjk or before in ")]）】%\"”" or cite or mark[0] in "!?"):
@@ -189,11 +200,11 @@ def _ends(s: str, lang: str) -> list[int]:
                     continue
             else:
                 follow = s[end : end + 24]
-                plain = regex.search(r"(?:\p{Ll}{2}|[)\]%]|°C|\d\p{Ll}|\s\p{Ll})$", s[max(0, i - 3) : i])
-                starts = regex.match(r"\p{Lu}(?:\p{Ll}|[’'-]?\p{Lu}?\p{Ll}|\s)|\p{Lu}{2,}\b(?!\.)|[\"“«„¿¡(]|\p{Lu}-", follow) or _LOWUP.match(follow)
-                if not plain or not starts or lw in never or "/" in w or "." in lw or regex.match(r"\p{Lu}\.", follow):
+                plain = _rx(r"(?:\p{Ll}{2}|[)\]%]|°C|\d\p{Ll}|\s\p{Ll})$").search(s[max(0, i - 3) : i])
+                starts = _rx(r"\p{Lu}(?:\p{Ll}|[’'-]?\p{Lu}?\p{Ll}|\s)|\p{Lu}{2,}\b(?!\.)|[\"“«„¿¡(]|\p{Lu}-").match(follow) or _LOWUP.match(follow)
+                if not plain or not starts or lw in never or "/" in w or "." in lw or _rx(r"\p{Lu}\.").match(follow):
                     continue
-                if lw in maybe and not regex.match(r"\p{Lu}", follow):
+                if lw in maybe and not _rx(r"\p{Lu}").match(follow):
                     continue
             if cjk and holder and c and s[holder[0]] not in "(（[" and not _colon(s, holder[0]):
                 continue
@@ -209,7 +220,7 @@ def _ends(s: str, lang: str) -> list[int]:
             at = end
             continue
         first = rest[0]
-        nw = regex.match(r"[\w’'-]+", rest.lstrip("\"“«„¿¡(["))
+        nw = _rx(r"[\w’'-]+").match(rest.lstrip("\"“«„¿¡(["))
         nw = nw.group() if nw else ""
         upper = first.isupper() or (first in "\"“«„‚¿¡([‘（「" and len(rest) > 1) or bool(_CASELESS.match(first))
         lowup = bool(_LOWUP.match(rest))
@@ -284,12 +295,12 @@ def _abbreviation(s: str, i: int, w: str, lw: str, rest: str, nw: str, upper: bo
     if not core:
         return False
     prior = s[max(0, i - len(w) - 12) : i - len(w)].rstrip()
-    if core.isdigit() or regex.fullmatch(r"[\d.,]+", core):
+    if core.isdigit() or _rx(r"[\d.,]+").fullmatch(core):
         line = max(s.rfind("\n", 0, i), s.rfind("\r", 0, i)) + 1
         if s[line : i - len(w)].strip() == "" and len(core) <= 3 and core.isdigit() and "." not in core:
             return line == 0  # a list number at the block's start
         if lang == "de":
-            last = regex.search(r"[\p{L}.]+$", prior)
+            last = _rx(r"[\p{L}.]+$").search(prior)
             if nw.lower() in DAYS:
                 return True
             if last and last.group().lower() in _ORDINAL_BEFORE and core.isdigit():
@@ -298,7 +309,7 @@ def _abbreviation(s: str, i: int, w: str, lw: str, rest: str, nw: str, upper: bo
         return not (upper or rest[0].isdigit() or rest[0] in "•*–-") and not rest[0].islower()
     if core in ("°c", "c") and prior.endswith(("°", "0", "1", "2", "3", "4", "5", "6", "7", "8", "9")) or w.endswith("°C"):
         return False
-    quantity = bool(regex.search(r"[\d×]$", prior))
+    quantity = bool(_rx(r"[\d×]$").search(prior))
     if core in maybe:
         if lang == "ru" and core in ("г", "с", "в") and not quantity:
             return True
@@ -321,7 +332,7 @@ def _abbreviation(s: str, i: int, w: str, lw: str, rest: str, nw: str, upper: bo
                 return False
             return nw.lower() not in OPENERS or not upper or len(nw) < 2 and nw != "A"
         return not (upper and quantity)
-    if regex.fullmatch(r"(?:\p{L}{1,2}\.)+\p{L}{1,3}", core):  # dotted
+    if _rx(r"(?:\p{L}{1,2}\.)+\p{L}{1,3}").fullmatch(core):  # dotted
         return not (upper and nw.lower() in OPENERS)
     return False
 
@@ -369,7 +380,7 @@ def _blocks(text: str) -> Iterator[tuple[int, int]]:
 def _heading(line: str, after: str, _: str) -> bool:
     if len(line) >= (_HEADING if not _CASELESS.search(line) else 20) or not after:
         return False
-    if line[-1] in ",，、-–—(（" or regex.search(r"[,;，；]", line):
+    if line[-1] in ",，、-–—(（" or _rx(r"[,;，；]").search(line):
         return False
     f = after.lstrip("\"“«„¿¡([「『（")[:1]
     return bool(f) and (f.isupper() or f.isdigit() and len(line) < 30 and not line[0].isdigit() or bool(_CASELESS.match(f)) or bool(_LOWUP.match(after)) or after[:1] in "•–-*")
