@@ -52,6 +52,7 @@ _TAG = regex.compile(r"</?\w{1,6}>")
 _TOKEN = re.compile(r"[^\W_]+")
 _ACCENTS = regex.compile(r"\p{Mn}+")
 _YEAR = regex.compile(r"(?<!\d)(?:19|20)\d\d(?!\d)")
+_DOI, _ARXIV, _PMC = regex.compile(r"10\.\d{4,9}/\S+"), regex.compile(r"\d{4}\.\d{4,5}"), regex.compile(r"(?i)PMC\d+")
 _CUT = regex.compile(r"…|\[\.\.\.\]|\.\.\.")
 _TAIL_MARKS = set('.”"/<([')
 _TAIL_END = regex.compile(r"[.”\"/<(\[]|,”| // ")
@@ -165,12 +166,12 @@ def identifiers(doi: str | None, arxiv: str | None, pmc: str | None, citation: s
     """Paper ids that the identifiers name."""
     out = []
     for d in (doi, citation):
-        m = regex.search(r"10\.\d{4,9}/\S+", d.lower()) if d else None
+        m = _DOI.search(d.lower()) if d else None
         if m:
             out.append("doi:" + m.group().rstrip(".,;:)]}"))
-    if arxiv and (m := regex.search(r"\d{4}\.\d{4,5}", arxiv)):
+    if arxiv and (m := _ARXIV.search(arxiv)):
         out.append("arxiv:" + m.group())
-    if pmc and (m := regex.search(r"(?i)PMC\d+", pmc)):
+    if pmc and (m := _PMC.search(pmc)):
         out.append("pmc:" + m.group().upper())
     return list(dict.fromkeys(out))
 
@@ -508,8 +509,11 @@ def match(papers: DataFrame, refs: DataFrame, authors: DataFrame | None = None,
     p_keys = titled.mapInArrow(paper_keys, "key long, paper_id string").select("key", F.xxhash64("paper_id").alias("paper_no"))
     described = titled.withColumn("paper_no", F.xxhash64("paper_id"))
 
-    def pairs_of(some: DataFrame) -> DataFrame:
+    def pairs_of(some: DataFrame, bounded: bool = False) -> DataFrame:
+        """Candidate pairs with their texts; the references of the bounded sample are given to every task, so no paper moves for them."""
         posted = some.mapInArrow(ref_keys, "key long, ref_row_id long")
+        if bounded:
+            some, posted = F.broadcast(some), F.broadcast(posted)
         pairs = posted.join(p_keys, "key").select("ref_row_id", "paper_no").distinct()
         return pairs.join(described, "paper_no").drop("paper_no").join(some, "ref_row_id")
 
@@ -537,7 +541,7 @@ def match(papers: DataFrame, refs: DataFrame, authors: DataFrame | None = None,
 
     # features are made on the executors; at most SAMPLE_PAIRS labels of a sampled reference reach the driver
     sample = hash_sample(slim.filter("doi is not null or arxiv_id is not null or pmc_id is not null"), "ref_row_id", sample_refs)
-    labelled = pairs_of(sample).select(*order).mapInArrow(label, "ref_row_id long, x array<double>, y double")
+    labelled = pairs_of(sample, True).select(*order).mapInArrow(label, "ref_row_id long, x array<double>, y double")
     few = Window.partitionBy("ref_row_id").orderBy(F.desc("y"), F.xxhash64("x"))
     got = labelled.withColumn("_n", F.row_number().over(few)).filter(F.col("_n") <= SAMPLE_PAIRS).select("ref_row_id", "x", "y").orderBy("ref_row_id", "x").collect()
     xs, ys, folds = [r["x"] for r in got], [r["y"] for r in got], [r["ref_row_id"] % 2 for r in got]
@@ -551,10 +555,10 @@ def match(papers: DataFrame, refs: DataFrame, authors: DataFrame | None = None,
         papers_seen: dict[str, Paper] = {}
         for b in batches:
             rid, pid, rank, conf = [], [], [], []
-            last, ref = None, None
+            last, ref, named = None, None, []
             for v in rows_of(b):
                 if v[0] != last:
-                    last, ref = v[0], Reference(v[6], v[7], v[8], shared.value)
+                    last, ref, named = v[0], Reference(v[6], v[7], v[8], shared.value), identifiers(v[9], v[10], v[11])
                 p = papers_seen.get(v[1])
                 if p is None:
                     if len(papers_seen) > 50_000:
@@ -564,7 +568,7 @@ def match(papers: DataFrame, refs: DataFrame, authors: DataFrame | None = None,
                 if f is NOTHING:  # far below any threshold
                     continue
                 z = slope * (sum([a * b for a, b in zip(f, weights)]) + weights[-1]) + constant
-                if v[1] in identifiers(v[9], v[10], v[11]) and (f[2] >= 0.6 and f[0] + f[1] <= 2 or f[5] and (f[6] or f[7] or f[9] or f[10] or not (v[6] or "").strip())):
+                if v[1] in named and (f[2] >= 0.6 and f[0] + f[1] <= 2 or f[5] and (f[6] or f[7] or f[9] or f[10] or not (v[6] or "").strip())):
                     chosen = z + 3.0  # the choice weighs an agreeing identifier, the confidence does not
                 else:
                     chosen = z
