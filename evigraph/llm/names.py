@@ -379,7 +379,7 @@ def parsed(entries: DataFrame, id_col: str, name_col: str, aff_col: str, orcid_c
 FORM = ["fam", "given", "mids", "init", "aff", "orcid"]
 
 
-def resolve_entities(entries: DataFrame, id_col: str = "author_id", name_col: str = "author_name", aff_col: str = "affiliation", orcid_col: str = "orcid", max_rounds: int = 12) -> DataFrame:
+def resolve_entities(entries: DataFrame, id_col: str = "author_id", name_col: str = "author_name", aff_col: str = "affiliation", orcid_col: str = "orcid") -> DataFrame:
     """(id, entity): entries of one entity share the entity's number."""
     rows = checkpoint(parsed(entries.dropDuplicates([id_col]), id_col, name_col, aff_col, orcid_col))
     forms = rows.groupBy(*FORM).agg(F.min("id").alias("pid"))
@@ -425,7 +425,7 @@ def resolve_entities(entries: DataFrame, id_col: str = "author_id", name_col: st
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
     lists = "fams array<string>, givens array<string>, mids array<string>, inits array<string>, affs array<string>, orcids array<string>"
-    for _ in range(max_rounds):
+    while True:  # ends, as every round with a link leaves fewer profiles
         profiles = forms.groupBy("cid").agg(*[F.array_sort(F.collect_set(c)).alias(n) for c, n in (("fam", "fams"), ("given", "givens"), ("mids", "mids"), ("init", "inits"))], *[F.filter(F.collect_set(c), lambda x: x != "").alias(n) for c, n in (("aff", "affs"), ("orcid", "orcids"))])
         posted = profiles.mapInArrow(post, f"key string, cid long, {lists}").repartition("key").sortWithinPartitions("key", "cid")
         links = checkpoint(posted.mapInArrow(link, "a long, b long").filter("a != b").distinct())
