@@ -12,20 +12,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.functions import ids, text
-from evigraph.operators import citations, context, retrieve
+from evigraph.operators import citations, context, postings, retrieve
 from evigraph.session import checkpoint
 
 MAX_DEPTH, LOCATE_K, RADIUS = 5, 8, 2
 STEP = "array<struct<depth:int,source_paper_id:string,sentence_ids:array<int>,extracted_text:string>>"
 
 
-def locate(asks: DataFrame, key: list[str], sentences: DataFrame, post: DataFrame | None = None, strip_stamps: bool = False, vectors: DataFrame | None = None, ask_vectors: DataFrame | None = None) -> DataFrame:
+def locate(asks: DataFrame, key: list[str], sentences: DataFrame, counts: DataFrame | None = None, strip_stamps: bool = False, vectors: DataFrame | None = None, ask_vectors: DataFrame | None = None) -> DataFrame:
     """(key, paper_id, sentence_ids, passage, full, shortcut, refs) of each (key, paper_id, ask) by the best passage.
 
     Sentence ranking is BM25, fused with cosine where both vector tables are given.
     """
     q = asks.withColumn("_k", F.to_json(F.struct(*key)))
-    arms = [retrieve.bm25(sentences, ["paper_id", "sentence_id"], "text", q, "_k", "ask", LOCATE_K, ["paper_id"], post=post)]
+    arms = [retrieve.bm25(sentences, ["paper_id", "sentence_id"], "text", q, "_k", "ask", LOCATE_K, ["paper_id"], counts)]
     if vectors is not None and ask_vectors is not None:
         v = q.join(ask_vectors, key).select("_k", "paper_id", "vector")
         arms.append(retrieve.knn_scoped(vectors, "sentence_id", "vector", v, "_k", "vector", ["paper_id"], LOCATE_K))
@@ -41,7 +41,7 @@ def walk(claims: DataFrame, refs: DataFrame, papers: DataFrame, sentences: DataF
     """(claim_id, status, reason, resolved_text, confidence, chain) of claims (claim_id, paper_id, raw_text, cited_ref_ids)."""
     table = checkpoint(citations.reference_table(refs))
     sentences = checkpoint(sentences)
-    post = checkpoint(retrieve.postings(sentences, ["paper_id", "sentence_id"], "text"))
+    counts = checkpoint(postings.term_counts(sentences.select(retrieve.terms(F.col("text")).alias("_t"))))
     front = claims.select("claim_id", F.col("paper_id").alias("at"), "raw_text", F.coalesce("cited_ref_ids", F.array().cast("array<string>")).alias("refs"), F.array().cast(STEP).alias("chain"))
     front = checkpoint(front)
     done = None
@@ -67,7 +67,7 @@ def walk(claims: DataFrame, refs: DataFrame, papers: DataFrame, sentences: DataF
         targets = citations.fetch_targets(needed, papers, by_citation)
         tried = checkpoint(tried.join(targets, "ref_row_id").select("claim_id", "pos", "raw_text", "target", "reason"))
         asks = tried.filter("target is not null").select("claim_id", "pos", F.col("target").alias("paper_id"), F.col("raw_text").alias("ask"))
-        got = locate(asks, ["claim_id", "pos"], sentences, post, strip_stamps)
+        got = locate(asks, ["claim_id", "pos"], sentences, counts, strip_stamps)
         seen = tried.select("claim_id", "pos", "reason").join(got, ["claim_id", "pos"], "left")
         ends = F.coalesce(F.col("full") | (F.col("shortcut") & (F.size("refs") > 0)), F.lit(False))
         per = seen.groupBy("claim_id").agg(
@@ -95,11 +95,8 @@ def infer(claims: DataFrame, corpus: DataFrame, exclude_prefix: str = "fixture:"
     """
     docs = corpus.filter((F.col("resolution_status") == "resolved") & (F.coalesce("resolved_text", F.lit("")) != "") & ~F.col("paper_id").startswith(exclude_prefix)).select(F.col("claim_id").alias("cand_id"), F.col("paper_id").alias("cand_paper"), "type", F.col("raw_text").alias("cand_raw"), F.col("resolved_text").alias("cand_text"))
     asks = claims.filter(F.col("specificity").isin("partially_described", "standard_unspecified"))
-    own = asks.select("claim_id", F.col("paper_id").alias("own"))
-    hits = retrieve.bm25(docs, ["type", "cand_id"], "cand_raw", asks.select("claim_id", "type", "raw_text"), "claim_id", "raw_text", None, ["type"]).drop("rank0")
-    hits = hits.join(docs.select("cand_id", "cand_paper"), "cand_id").join(own, "claim_id").filter("cand_paper <> own")
-    best = retrieve.ranked(hits, ["claim_id"], ["cand_id"], 5)
-    j = best.join(asks.select("claim_id", "specificity", "raw_text"), "claim_id").join(docs.drop("type", "cand_paper"), "cand_id")
+    best = retrieve.bm25(docs.withColumn("paper_id", F.col("cand_paper")), ["cand_id"], "cand_raw", asks.select("claim_id", "paper_id", "type", "raw_text"), "claim_id", "raw_text", 5, ["type"], own="paper_id")
+    j = best.join(asks.select("claim_id", "specificity", "raw_text"), "claim_id").join(docs.drop("type"), "cand_id")
     j = j.filter((F.col("specificity") == "standard_unspecified") | (F.col("rank0") < 3)).filter(text.candidate_supports(F.col("raw_text"), F.col("cand_raw"), F.col("cand_text")))
     top = j.groupBy("claim_id").agg(F.min(F.struct("rank0", "cand_paper", "cand_text")).alias("m"))
     marker = F.when(F.col("specificity") == "partially_described", F.concat(F.lit("[Corpus inference: "), F.col("m.cand_paper"), F.lit("]"))).otherwise(F.concat(F.lit("[Inferred 'standard' from corpus: "), F.col("m.cand_paper"), F.lit("]")))

@@ -77,7 +77,7 @@ SELECT src, dst, min(depth) AS depth FROM w GROUP BY ALL"""
 
 def corpus_inference(spark: SparkSession, d: str) -> DataFrame:
     """Partial and standard claims filled from other papers' resolved claims."""
-    c = paper_claims(spark, d)
+    c = checkpoint(paper_claims(spark, d))
     i = resolve.infer(c, c)
     return i.select("claim_id", "status", F.coalesce("source_paper_id", F.lit("")).alias("source_paper_id"), "confidence")
 

@@ -229,3 +229,47 @@ def test_plugged_classifier_falls_back(spark):
     df = spark.createDataFrame([("x",)], "chunk string")
     out = claims.extract_with(df, bad, "chunk string, kind string", lambda f: f.assign(kind="rules"))
     assert [tuple(r) for r in out.collect()] == [("x", "rules")]
+
+
+def test_packed_search_is_the_full_sum(spark, monkeypatch):
+    """Packs give what summing every posting gives, with hidden and kept-out documents and a least share of words."""
+    import math
+    import random
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    text_of = lambda n: " ".join(words[min(59, int(rng.expovariate(0.12)))] for _ in range(n))
+    rows = [(i, text_of(rng.randint(1, 12)), rng.choice("ab"), f"p{i % 7}") for i in range(900)]
+    asks = [(i, text_of(6), rng.choice("ab"), f"p{i % 7}") for i in range(40)]
+    docs, q = spark.createDataFrame(rows, "id int, t string, kind string, paper string"), spark.createDataFrame(asks, "qid int, q string, kind string, paper string")
+    n, avg = len(rows), sum(len(r[1].split()) for r in rows) / len(rows)
+    df = {w: sum(w in r[1].split() for r in rows) for w in words}
+
+    def full(ok, k, need=0.0):
+        out = set()
+        for a in asks:
+            qs, all_ = set(a[1].split()), []
+            for r in rows:
+                t = r[1].split()
+                hit = [w for w in qs if w in t]
+                if hit and ok(a, r) and len(hit) >= math.floor(len(qs) * need):
+                    all_.append((-round(sum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * t.count(w) * 2.2 / (t.count(w) + 1.2 * (0.25 + 0.75 * len(t) / avg)) for w in hit), 6), r[0]))
+            out |= {(a[0], i) for _, i in sorted(all_)[:k]}
+        return out
+
+    got = lambda found: {(r.qid, r.id) for r in found.collect()}
+    assert got(retrieve.bm25(docs, ["id"], "t", q.select("qid", "q"), "qid", "q", 4)) == full(lambda a, r: True, 4)
+    assert got(retrieve.bm25(docs, ["id"], "t", q.select("qid", "q"), "qid", "q", 4, keep=F.col("kind") == "a")) == full(lambda a, r: r[2] == "a", 4)
+    assert got(retrieve.bm25(docs, ["id"], "t", q, "qid", "q", 4, ["kind"], own="paper")) == full(lambda a, r: r[2] == a[2] and r[3] != a[3], 4)
+    cited = retrieve.best_paper(docs.select(F.format_string("%04d", "id").alias("paper_id"), F.col("t").alias("title"), F.lit("").alias("abstract")), q.select("qid", "q"), "qid", "q")
+    assert {(r.qid, int(r.paper_id)) for r in cited.collect()} == full(lambda a, r: True, 1, 0.6)
+
+
+def test_search_makes_no_row_per_posting(spark):
+    """Documents and queries that all share a word: rows between operators stay far below their product."""
+    docs = spark.range(300).select("id", F.concat(F.lit("common w"), "id").alias("t"))
+    q = spark.range(200).select(F.col("id").alias("qid"), F.concat(F.lit("common w"), "id").alias("q"))
+    found = retrieve.bm25(docs, ["id"], "t", q, "qid", "q", 2)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner, (term" not in plan and "explode" not in plan
+    assert found.filter("rank0 = 0 and qid = id").count() == 200
