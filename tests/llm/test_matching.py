@@ -191,3 +191,15 @@ def test_slipped_family_without_affiliation(spark):
     rows = [(1, "Fokzorras, Odile", "TU Brask", None), (2, "Fpkzorras, Odile", None, None), (3, "Vindala, Maria", "TU Brask", None), (4, "Vindela, Maria", "TU Velmar", None), (5, "Vindila, Maria", None, None)]
     df = spark.createDataFrame(rows, "author_id long, author_name string, affiliation string, orcid string")
     assert {tuple(r) for r in names.entity_pairs(df).collect()} == {(1, 2)}  # 5 fits two
+
+
+def test_files_longer_than_a_block_leave_no_pair_out(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(700, 16)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame([*rows, *rows[:50]], "id long, v array<float>").repartition(5)
+    got = {tuple(r) for r in neighbour_pairs(df, "id", "v", 5, 16, max_pivots=4, posts=4, block=64).collect()}
+    assert got == brute(np.arange(700), x, 5)  # four files that hold every vector
+    got = {tuple(r) for r in neighbour_pairs(df, "id", "v", 5, 16, max_pivots=100, posts=2, block=8).collect()}
+    want = {tuple(r) for r in neighbour_pairs(df, "id", "v", 5, 16, max_pivots=100, posts=2).collect()}
+    assert got == want
