@@ -29,13 +29,19 @@ def has_methods(c: Column) -> Column:
     return text.strip(F.coalesce(c, F.lit(""))) != ""
 
 
-def fetch_targets(refs: DataFrame, papers: DataFrame, by_citation: bool = True) -> DataFrame:
+def paper_table(papers: DataFrame) -> DataFrame:
+    """What ``fetch_targets`` needs of papers, without their texts."""
+    return papers.select("paper_id", "title", "abstract", has_methods(F.col("methods_text")).alias("has_methods"))
+
+
+def fetch_targets(refs: DataFrame, papers: DataFrame, by_citation: bool = True, packs: list[DataFrame] | None = None) -> DataFrame:
     """(ref_row_id, target, via, reason): DOI, arXiv, PMC, then the indexed citation; the first with methods wins.
 
     Without one: 'source_unavailable' if an identifier led to a paper without methods, else
     'reference_unresolved'. Equal fetches are made once.
+    ``papers`` may be their ``paper_table``; ``packs``: ``retrieve.paper_packs`` of those with methods, if at hand.
     """
-    p = papers.select("paper_id", "title", "abstract", has_methods(F.col("methods_text")).alias("has_methods"))
+    p = papers if "has_methods" in papers.columns else paper_table(papers)
     keyed = refs.withColumn("fetch_key", ids.fetch_key(*[F.col(c) for c in ("doi", "arxiv_id", "pmc_id", "title", "raw_citation")]))
     ident = F.array(
         F.struct(F.lit(0).alias("rank"), F.concat(F.lit("doi:"), ids.parse_doi(F.col("doi"))).alias("target")),
@@ -46,7 +52,7 @@ def fetch_targets(refs: DataFrame, papers: DataFrame, by_citation: bool = True)
     found = named.join(p.select(F.col("paper_id").alias("target"), "has_methods"), "target")
     if by_citation:
         once = keyed.groupBy("fetch_key").agg(F.min(F.struct("ref_row_id", F.coalesce(F.nullif("title", F.lit("")), "raw_citation").alias("q"))).alias("x")).select("fetch_key", "x.q").filter("q <> ''")
-        best = retrieve.best_paper(p.filter("has_methods"), once, "fetch_key", "q").join(p.select("paper_id", "title"), "paper_id").join(once, "fetch_key")
+        best = retrieve.best_paper(p.filter("has_methods"), once, "fetch_key", "q", packs=packs).join(p.select("paper_id", "title"), "paper_id").join(once, "fetch_key")
         best = best.filter(text.title_share(F.col("q"), F.col("title")) >= 0.6).select("fetch_key", F.col("paper_id").alias("target"))
         hit = keyed.select("ref_row_id", "fetch_key").join(best, "fetch_key").select("ref_row_id", F.lit(3).alias("rank"), "target", F.lit(True).alias("has_methods"))
         found = found.select("ref_row_id", "rank", "target", "has_methods").unionByName(hit)

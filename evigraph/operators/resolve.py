@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from evigraph.functions import ids, text
 from evigraph.operators import citations, context, postings, retrieve
-from evigraph.session import checkpoint
+from evigraph.session import checkpoint, shuffled_joins
 
 MAX_DEPTH, LOCATE_K, RADIUS = 5, 8, 2
 STEP = "array<struct<depth:int,source_paper_id:string,sentence_ids:array<int>,extracted_text:string>>"
@@ -39,7 +39,14 @@ def locate(asks: DataFrame, key: list[str], sentences: DataFrame, counts: DataFr
 
 def walk(claims: DataFrame, refs: DataFrame, papers: DataFrame, sentences: DataFrame, by_citation: bool = True, max_depth: int = MAX_DEPTH, strip_stamps: bool = False) -> DataFrame:
     """(claim_id, status, reason, resolved_text, confidence, chain) of claims (claim_id, paper_id, raw_text, cited_ref_ids)."""
+    with shuffled_joins(claims.sparkSession):
+        return _walked(claims, refs, papers, sentences, by_citation, max_depth, strip_stamps)
+
+
+def _walked(claims: DataFrame, refs: DataFrame, papers: DataFrame, sentences: DataFrame, by_citation: bool, max_depth: int, strip_stamps: bool) -> DataFrame:
     table = checkpoint(citations.reference_table(refs))
+    papers = checkpoint(citations.paper_table(papers))  # read by every round; texts stay behind
+    packs = retrieve.paper_packs(papers.filter("has_methods")) if by_citation else None
     sentences = checkpoint(sentences)
     counts = checkpoint(postings.term_counts(sentences.select(retrieve.terms(F.col("text")).alias("_t"))))
     front = claims.select("claim_id", F.col("paper_id").alias("at"), "raw_text", F.coalesce("cited_ref_ids", F.array().cast("array<string>")).alias("refs"), F.array().cast(STEP).alias("chain"))
@@ -64,7 +71,7 @@ def walk(claims: DataFrame, refs: DataFrame, papers: DataFrame, sentences: DataF
         tried = go.select("claim_id", "at", "raw_text", F.posexplode("refs").alias("pos", "_id")).withColumn("ref_key", ids.ref_key(F.col("_id")))
         tried = tried.join(table.select(F.col("paper_id").alias("at"), "ref_key", "ref_row_id"), ["at", "ref_key"])
         needed = table.join(tried.select("ref_row_id").distinct(), "ref_row_id", "left_semi")
-        targets = citations.fetch_targets(needed, papers, by_citation)
+        targets = citations.fetch_targets(needed, papers, by_citation, packs)
         tried = checkpoint(tried.join(targets, "ref_row_id").select("claim_id", "pos", "raw_text", "target", "reason"))
         asks = tried.filter("target is not null").select("claim_id", "pos", F.col("target").alias("paper_id"), F.col("raw_text").alias("ask"))
         got = locate(asks, ["claim_id", "pos"], sentences, counts, strip_stamps)
@@ -93,12 +100,17 @@ def infer(claims: DataFrame, corpus: DataFrame, exclude_prefix: str = "fixture:"
 
     The best 3 (partial) or 5 (standard) come first, the support test after; the best supported one counts.
     """
+    with shuffled_joins(claims.sparkSession):
+        return _inferred(claims, corpus, exclude_prefix)
+
+
+def _inferred(claims: DataFrame, corpus: DataFrame, exclude_prefix: str) -> DataFrame:
     docs = corpus.filter((F.col("resolution_status") == "resolved") & (F.coalesce("resolved_text", F.lit("")) != "") & ~F.col("paper_id").startswith(exclude_prefix)).select(F.col("claim_id").alias("cand_id"), F.col("paper_id").alias("cand_paper"), "type", F.col("raw_text").alias("cand_raw"), F.col("resolved_text").alias("cand_text"))
     asks = claims.filter(F.col("specificity").isin("partially_described", "standard_unspecified"))
     best = retrieve.bm25(docs.withColumn("paper_id", F.col("cand_paper")), ["cand_id"], "cand_raw", asks.select("claim_id", "paper_id", "type", "raw_text"), "claim_id", "raw_text", 5, ["type"], own="paper_id")
     j = best.join(asks.select("claim_id", "specificity", "raw_text"), "claim_id").join(docs.drop("type"), "cand_id")
     j = j.filter((F.col("specificity") == "standard_unspecified") | (F.col("rank0") < 3)).filter(text.candidate_supports(F.col("raw_text"), F.col("cand_raw"), F.col("cand_text")))
-    top = j.groupBy("claim_id").agg(F.min(F.struct("rank0", "cand_paper", "cand_text")).alias("m"))
+    top = checkpoint(j.groupBy("claim_id").agg(F.min(F.struct("rank0", "cand_paper", "cand_text")).alias("m")))
     marker = F.when(F.col("specificity") == "partially_described", F.concat(F.lit("[Corpus inference: "), F.col("m.cand_paper"), F.lit("]"))).otherwise(F.concat(F.lit("[Inferred 'standard' from corpus: "), F.col("m.cand_paper"), F.lit("]")))
     return asks.join(top, "claim_id", "left").select(
         "claim_id",
@@ -116,6 +128,11 @@ def resolve(claims: DataFrame, refs: DataFrame, papers: DataFrame, sentences: Da
     Shortcuts walk; partial and standard claims walk if they cite, then fall back on the corpus.
     A partial claim keeps the walk's reason where the corpus fails, a standard one the corpus's.
     """
+    with shuffled_joins(claims.sparkSession):
+        return _resolved(claims, refs, papers, sentences, by_citation, strip_stamps)
+
+
+def _resolved(claims: DataFrame, refs: DataFrame, papers: DataFrame, sentences: DataFrame, by_citation: bool, strip_stamps: bool) -> DataFrame:
     claims = checkpoint(claims)
     open_ = claims.filter("specificity <> 'fully_described'")
     walking = open_.filter((F.col("specificity") == "shortcut_citation") | (F.size("cited_ref_ids") > 0))

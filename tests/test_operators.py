@@ -273,3 +273,17 @@ def test_search_makes_no_row_per_posting(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Inner, (term" not in plan and "explode" not in plan
     assert found.filter("rank0 = 0 and qid = id").count() == 200
+
+
+def test_walk_sends_no_table_through_the_driver(spark, chain, monkeypatch):
+    """Its rounds join by shuffles, and the papers are packed once for all of them."""
+    fix = lambda df, col: df.withColumn(col, F.regexp_replace(col, "10.1/", "10.10000/"))
+    papers, refs, sents, c = fix(chain[0], "paper_id"), fix(fix(chain[1], "paper_id"), "doi"), fix(chain[2], "paper_id"), fix(chain[3], "paper_id")
+    name, seen, packed = "spark.sql.autoBroadcastJoinThreshold", [], []
+    before = spark.conf.get(name)
+    fetch, pack = citations.fetch_targets, retrieve.paper_packs
+    monkeypatch.setattr(citations, "fetch_targets", lambda *a: (seen.append(spark.conf.get(name)), fetch(*a))[1])
+    monkeypatch.setattr(retrieve, "paper_packs", lambda p: (packed.append(p.columns), pack(p))[1])
+    resolve.walk(c.filter("specificity = 'shortcut_citation'").select("claim_id", "paper_id", "raw_text", "cited_ref_ids"), refs, papers, sents, strip_stamps=True).collect()
+    assert len(seen) > 1 and set(seen) == {"-1"} and spark.conf.get(name) == before
+    assert len(packed) == 1 and "methods_text" not in packed[0]
