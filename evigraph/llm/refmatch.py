@@ -2,7 +2,7 @@
 
 1. Common words are those of many titles (document frequency over all papers); the others are
    rare. Their number is bounded by share, not by the data's size.
-2. Blocking: one-deletion variants of each rare title word, which any two spellings but for one
+2. Blocking (titles of common words only by pairs of their three least frequent words): one-deletion variants of each rare title word, which any two spellings but for one
    slip share (words of 0.01 to 0.1 % of titles with each common word of the title instead); and
    the attributes identifier, and author with year where a reference names no title. One join on
    64-bit block keys gives the candidate pairs.
@@ -31,6 +31,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cached_property
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -158,6 +159,32 @@ class Poster:
         return out
 
 
+    def posts(self, token: str) -> bool:
+        """Whether a title word is posted by itself."""
+        return len(token) >= 5 and token not in self.common and not token.isdigit()
+
+    def kind(self, tokens: list[str]) -> tuple[bool, bool]:
+        """(plain, alone): whether a title has no word that is posted, and whether none of its posted words has a common one beside it."""
+        rare = [i for i, t in enumerate(tokens) if self.posts(t)]
+        known = [t in self.common for t in tokens]
+        return bool(tokens) and not rare, bool(rare) and not any((i and known[i - 1]) or any(known[i + 1 : i + 3]) for i in rare)
+
+    def plain_title(self, tokens: list[str], counts: dict[str, int]) -> set[int]:
+        """Keys of a title without posted words: the pairs of its three least frequent words, so that one of them may be missing."""
+        few = sorted({t for t in tokens if t not in STOP}, key=lambda t: (counts.get(t, 0), t))[:3]
+        return {_key("p:" + "|".join(sorted(x))) for x in (combinations(few, 2) if len(few) > 1 else [tuple(few)])}
+
+    def plain_reference(self, title: list[str], citation: list[str]) -> set[int]:
+        """Keys that meet ``plain_title``: all pairs of words that can stand in such a title, slips mended."""
+        out = set()
+        for tokens in (title, citation):
+            can = {w for t in tokens if t not in STOP for w in ((t,) if not self.posts(t) else self.mend(t)) if w not in STOP}
+            out.update(_key("p:" + "|".join(x)) for x in combinations(sorted(can), 2))
+            if len(can) == 1:
+                out.add(_key("p:" + next(iter(can))))
+        return out
+
+
 def _key(text: str) -> int:
     return xxhash.xxh64_intdigest(text, seed=77) - 2**63
 
@@ -468,6 +495,17 @@ def match(papers: DataFrame, refs: DataFrame, authors: DataFrame | None = None,
     warm = frozenset(w for w, n in many.items() if n >= max(WARM_LEAST, WARM_SHARE * n_papers)) - common
     shared = spark.sparkContext.broadcast(common)
     shared_warm = spark.sparkContext.broadcast(warm)
+    shared_counts = spark.sparkContext.broadcast({w: n for w, n in many.items() if w in common})
+
+    def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = Poster(shared.value, shared_warm.value)
+        for b in batches:
+            seen = [h.kind(words(fold(t))) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([any(k[i] for k in seen)], pa.bool_()) for i in range(2)], names=["plain", "alone"])
+
+    # references post further keys where titles need them
+    needs = titled.select("title").mapInArrow(kinds, "plain boolean, alone boolean").agg(F.bool_or("plain"), F.bool_or("alone")).first()
+    plain, alone = bool(needs[0]), bool(needs[1])
     slim = refs.select("ref_row_id", "raw_citation", F.col("title").alias("r_title"), F.col("pub_year").alias("r_year"), "doi", "arxiv_id", "pmc_id").filter(F.col("ref_row_id").isNotNull())
 
     def keyed(posted: list[set[int]], ids: pa.Array, name: str) -> pa.RecordBatch:
@@ -479,7 +517,10 @@ def match(papers: DataFrame, refs: DataFrame, authors: DataFrame | None = None,
         for b in batches:
             posted = []
             for pid, title, year, _, author in zip(*(c.to_pylist() for c in b.columns)):
-                own = h.keys(words(fold(title)), False, 5)
+                named = words(fold(title))
+                own = h.keys(named, False, 5)
+                if plain and h.kind(named)[0]:
+                    own |= h.plain_title(named, shared_counts.value)
                 own.add(_key(pid))
                 if author and year:
                     own.update(_key(f"{w}|{year}") for w in set(words(fold(author))) if len(w) >= 4)
@@ -496,10 +537,12 @@ def match(papers: DataFrame, refs: DataFrame, authors: DataFrame | None = None,
                 own = h.keys(named, False, 4)
                 text = fold(citation)
                 tokens = words(text)
-                own |= h.keys(tokens, True, 4, frozenset(named))
+                own |= h.keys(tokens, not alone, 4, frozenset(named))
+                if plain:
+                    own |= h.plain_reference(named, tokens)
                 if not title and is_bare(tokens, h.common):
                     for y in {year} if year else set(_YEAR.findall(text)):
-                        own.update(_key(f"{w}|{y}") for w in set(tokens[:10]) if len(w) >= 4 and w not in h.common and not w.isdigit())
+                        own.update(_key(f"{w}|{y}") for w in {*tokens[:14], *tokens[-14:]} if len(w) >= 4 and w not in h.common and not w.isdigit())
                 if doi or arxiv or pmc or citation and "10." in citation:
                     own.update(_key(p) for p in identifiers(doi, arxiv, pmc, citation if citation and "10." in citation else None))
                 posted.append(own)

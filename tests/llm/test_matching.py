@@ -203,3 +203,13 @@ def test_files_longer_than_a_block_leave_no_pair_out(spark):
     got = {tuple(r) for r in neighbour_pairs(df, "id", "v", 5, 16, max_pivots=100, posts=2, block=8).collect()}
     want = {tuple(r) for r in neighbour_pairs(df, "id", "v", 5, 16, max_pivots=100, posts=2).collect()}
     assert got == want
+
+
+def test_titles_without_a_rare_word_or_a_common_neighbour(spark):
+    a, b = (sorted(set(invented(20, seed)))[:13] for seed in (21, 22))
+    titles = {f"t{i}_{j}": f"Spatial mapping of {x} in {y}" for i, x in enumerate(a) for j, y in enumerate(b)}  # every word in 13 titles or more
+    titles["alone"] = "Vondrelaq kimzortup beldranof"
+    p = spark.createDataFrame([(k, t, 2010, None) for k, t in titles.items()], "paper_id string, title string, pub_year int, venue string")
+    r = spark.createDataFrame([(1, None, titles["t3_4"], 2010, None, None, None), (2, f"Bor, Q. (2010). {titles['t5_6']}. 4, 7-9.", None, 2010, None, None, None), (3, f"Borzu: {titles['alone']}. 2010", None, 2010, None, None, None)], REF_SCHEMA)
+    got = {x.ref_row_id: x.paper_id for x in refmatch.match(p, r).collect()}
+    assert got == {1: "t3_4", 2: "t5_6", 3: "alone"}
