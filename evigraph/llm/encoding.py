@@ -7,8 +7,10 @@ under zstandard with a dictionary of its language, plus a cost per step, plus a
 character that the clean texts never use and each byte that could not be decoded. The shortest
 wins; the passage stays unchanged unless a chain is shorter than no chain.
 
-Dictionaries and alphabets are trained here, per language, on a bounded sample of clean texts
-(about ``SAMPLE_DOCS`` documents, their first 20,000 code points, ``SAMPLE_CHARS`` a language); all documents are examined.
+Dictionaries and alphabets are trained here, per language, on counts over all clean texts, whole: in how
+many documents each character stands, how often each word. A dictionary holds the words worth most by
+these counts, each within a stretch of text, until it is full; only words that have room in it reach the
+driver. No count depends on how the table is split, so neither do the results.
 
 A text with replacement characters or stray C1 controls has lost its original there; it counts as
 found and its restorable passages are still restored. Null, empty and ASCII texts are never found.
@@ -18,18 +20,23 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigraph.llm.langid import detect
-from evigraph.session import spread
-from evigraph.sources import hash_sample
-
-SAMPLE_DOCS, SAMPLE_CHARS, MAX_CHAIN = 4_000, 150_000, 3
+from evigraph.session import checkpoint, spread
+
+MAX_CHAIN = 3
+#: Bytes of a dictionary, and words of a language: more have no room in one.
+DICTIONARY = 48_000
+WORDS = DICTIONARY // 2
+#: Longest stretch in a dictionary, longest word, characters of a piece of a longer one, words counted before a task hands them on.
+STRETCH, WORD, PIECE, FLUSH = 160, 24, 4, 200_000
 #: Encodings that texts get misread as, and the pairs of single- or double-byte encodings that get confused.
 MISREAD = ["cp1252", "latin-1", "iso8859-15", "mac_roman", "cp437", "cp850", "cp1251", "cp1250", "koi8-r", "cp866", "mac_cyrillic"]
 CONFUSED = [(e, t) for e in ("cp1252", "latin-1", "iso8859-15", "mac_roman", "cp850", "cp437") for t in ("cp1251", "koi8-r", "cp866", "gb18030", "cp932", "euc_jp", "mac_cyrillic")]
@@ -71,6 +78,8 @@ _HIGH_RUN = re.compile(r"[^\x00-\x7f]{4,}|[^\x00-\x7f]{3}\S*\s+\S*[^\x00-\x7f]{3
 _C1 = re.compile(r"[\x80-\x84\x86-\x9f]")
 _NATIVE = {"ru": re.compile(r"[Ѐ-ӿ]"), "ja": re.compile(r"[぀-ヿ]"), "zh": re.compile(r"[一-鿿]"), "hi": re.compile(r"[ऀ-ॿ]"), "th": re.compile(r"[฀-๿]")}
 LATIN = ("en", "de", "fr", "es")
+FEW, UNSPACED = (*LATIN, "ru"), ("zh", "ja", "th")
+_HIGH, _DIGIT = re.compile(r"[^\x00-\x7f]"), re.compile(r"\d")
 
 
 def utf8_step(text: str, e: str) -> str:
@@ -119,7 +128,7 @@ class Model:
         self.by = {}
         self.memo: dict[tuple[str, str], tuple[str, tuple]] = {}  # results of short passages, which recur; bounded
         for lang, (data, _) in trained.items():
-            d = zstandard.ZstdCompressionDict(data) if data else None
+            d = zstandard.ZstdCompressionDict(data, zstandard.DICT_TYPE_RAWCONTENT) if data else None
             params = zstandard.ZstdCompressionParameters.from_level(19, write_content_size=False, write_checksum=False, write_dict_id=False)
             self.by[lang] = zstandard.ZstdCompressor(compression_params=params, dict_data=d) if d else zstandard.ZstdCompressor(compression_params=params)
         self.plain = zstandard.ZstdCompressor(level=19, write_content_size=False)
@@ -135,7 +144,7 @@ class Model:
             return float("inf")
         data = text.encode("utf-8", "surrogatepass")
         langs = self.languages(text)
-        size = min((len(self.by[l].compress(data)) for l in langs), default=len(self.plain.compress(data)))
+        size = min([len(self.by[l].compress(data)) for l in langs]) if langs else len(self.plain.compress(data))
         return size + STRANGE * strange + LOST * lost
 
 
@@ -210,68 +219,198 @@ def restore(text: str | None, model: Model) -> tuple[str | None, list[str], bool
 
 _CYRILLIC = re.compile(r"[А-Яа-яЁё]")
 _NOT_RUSSIAN = re.compile(r"[Ѐ-ЏѐђѓєѕіїјљњћќѝўџѠ-ӿ─-▟√≈≤≥÷⌠⌡]|[а-яё][А-ЯЁ][А-ЯЁа-яё]|[Рр][°±µ·№»ѕј‚„…†‡€‰‹‘’“”•–—™›]")
+_PAIR = re.compile(r"[^\x00-\x7f]{2,}")
+_WORD_OF_ODD = re.compile(r"[\x80-\x84\x86-\x9f\xa1-\u02ff]{4,}")  # white space aside
 WESTERN = ("cp1252", "latin-1", "iso8859-15", "mac_roman", "cp437", "cp850", "cp1250")
 
 
 def clean(text: str) -> bool:
     """Whether a text shows no sign of a wrong encoding; for training only."""
+    if text.isascii():
+        return True
     if "�" in text or _C1.search(text):
         return False
-    if not text.isascii() and any(RUNS[e].search(text) for e in WESTERN):
-        return False
-    if _CYRILLIC.search(text) and _NOT_RUSSIAN.search(text):
+    runs = " ".join(_PAIR.findall(text))
+    if _WORD_OF_ODD.search(runs) or any(RUNS[e].search(runs) for e in WESTERN):
         return False
-    return not any(re.search(r"[\x80-˿]{4,}", w) for w in text.split() if not w.isascii())
+    return not (_CYRILLIC.search(text) and _NOT_RUSSIAN.search(text))
+
+
+def characters(texts: Iterable[str]) -> Counter:
+    """(language, character) -> texts that hold it; (language, '') -> texts."""
+    out = Counter()
+    for t in texts:
+        lang = detect(t)
+        out.update((lang, c) for c in {"", *_HIGH.findall(t)})
+    return out
 
 
-def train(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> dict[str, tuple[bytes, frozenset[str]]]:
-    """Dictionary and alphabet by language from a bounded sample."""
-    rows = hash_sample(df.select(id_col, text_col), id_col, SAMPLE_DOCS).filter(F.length(text_col) > 0).select(id_col, F.substring(text_col, 1, 20_000)).collect()
-    return trained([t for _, t in sorted(map(tuple, rows), key=lambda r: str(r[0])) if clean(t)])
+def alphabets(counts: Iterable[tuple[str, str, int]]) -> dict[str, frozenset[str]]:
+    """Characters beyond ASCII that a language's texts use; of few letters only those that more than a few texts have."""
+    by = defaultdict(dict)
+    for lang, c, n in counts:
+        by[lang][c] = n
+    out = {}
+    for lang, seen in by.items():
+        docs = seen.pop("")
+        least = docs * 0.02 if lang in FEW and docs >= 50 else 0
+        out[lang] = frozenset(c for c, n in seen.items() if n > least)
+    return out
 
 
-def _places(text: str) -> set[tuple[str, str]]:
-    """(two characters before and one after, character) of each non-ASCII character; digits alike."""
-    flat = re.sub(r"\d", "9", text)
-    return {(flat[max(0, m.start() - 2) : m.start()] + "_" + flat[m.end() : m.end() + 1], m.group()) for m in re.finditer(r"[^\x00-\x7f]", flat)}
+def _words(lang: str, stretch: str) -> list[str]:
+    """Words with digits alike; overlapping pieces where words are not spaced."""
+    out = []
+    for w in _DIGIT.sub("9", stretch).split():
+        if len(w) <= (PIECE if lang in UNSPACED else WORD):
+            out.append(w)
+        else:
+            out += [w[i : i + PIECE] for i in range(len(w) - PIECE + 1)]
+    return out
 
 
-def trained(texts: list[str]) -> dict[str, tuple[bytes, frozenset[str]]]:
-    """Dictionary and alphabet by language of texts that show no sign of a wrong encoding."""
-    by = defaultdict(list)
+def _places(word: str) -> list[tuple[str, str]]:
+    """(two characters before and one after, character) of each non-ASCII character."""
+    w = "  " + word
+    return [(w[m.start() - 2 : m.start()] + "_" + w[m.end() : m.end() + 1], m.group()) for m in _HIGH.finditer(w)]
+
+
+def words(texts: Iterable[str], known: dict[str, frozenset[str]]) -> Iterator[tuple[str, str, int, int, str]]:
+    """(language, word, count, hash, stretch) over stretches of known characters; the stretch of least hash that holds the word.
+
+    A word may come several times, to be added up.
+    """
+    found: dict[tuple[str, str], list] = {}
+
+    def add(stretches: Counter) -> None:
+        for (lang, s), n in stretches.items():
+            if lang in FEW and not known[lang].issuperset(_HIGH.findall(s)):
+                continue
+            h = xxhash.xxh64_intdigest(s) >> 1
+            for w in _words(lang, s):
+                got = found.get((lang, w))
+                if got is None:
+                    found[lang, w] = [n, h, s]
+                else:
+                    got[0] += n
+                    if (h, s) < (got[1], got[2]):
+                        got[1:] = h, s
+
+    def out() -> Iterator[tuple[str, str, int, int, str]]:
+        yield from ((*k, *v) for k, v in found.items())
+        found.clear()
+
+    stretches = Counter()  # repeated ones are taken apart once
     for t in texts:
-        by[detect(t)].append(t)
+        lang = detect(t)
+        for m in _SEGMENT.finditer(t):
+            s = m.group()
+            stretches.update((lang, s[i : i + STRETCH]) for i in range(0, len(s), STRETCH) if not s.isspace())
+        if len(stretches) > FLUSH // 10:
+            add(stretches)
+            stretches = Counter()
+        if len(found) > FLUSH:
+            yield from out()
+    add(stretches)
+    yield from out()
+
+
+def betraying(counts: dict[str, int]) -> list[str]:
+    """Of the characters of one place, by count, those that stand where another one nearly always does: signs of a misread text."""
+    total = sum(counts.values())
+    return [c for c, k in counts.items() if k < 0.15 * total] if total >= 8 and max(counts.values()) >= 0.85 * total else []
+
+
+def dictionary(lang: str, ranked: Iterable[tuple[str, str]], bad: set[tuple[str, str]]) -> bytes:
+    """A dictionary of (word, stretch that holds it), worthiest first, which stand nearest to the text; a stretch with a betraying character gives way to the word alone."""
+    kept, size, covered = [], 0, set()
+    for w, s in ranked:
+        if w in covered:
+            continue
+        if bad and any(p in bad for x in _words(lang, s) for p in _places(x)):
+            if any(p in bad for p in _places(w)):
+                continue
+            s = w + " "
+        data = s.encode()
+        if size + len(data) > DICTIONARY:
+            break
+        kept.append(data)
+        size += len(data)
+        covered.update(_words(lang, s))
+    return b"".join(reversed(kept))
+
+
+def trained(texts: list[str]) -> dict[str, tuple[bytes, frozenset[str]]]:
+    """Dictionary and alphabet by language of texts that show no sign of a wrong encoding; ``train`` without Spark."""
+    known = alphabets((*k, n) for k, n in characters(texts).items())
+    table: dict[str, dict[str, tuple]] = defaultdict(dict)
+    for lang, w, n, h, s in words(texts, known):
+        before = table[lang].get(w, (0, h, s))
+        table[lang][w] = (before[0] + n, *min((h, s), before[1:]))
     out = {}
-    for lang, group in by.items():
-        seen = Counter(c for t in group for c in set(t))
-        if lang in (*LATIN, "ru"):  # few letters: a text with one that hardly any other has is no model
-            least = len(group) * 0.02 if len(group) >= 50 else 0
-            group = [t for t in group if all(seen[c] > least for c in set(t) if c > "\x7f")]
-            # where one character nearly always stands, another one betrays a misread text
-            place = defaultdict(Counter)
-            for t in group:
-                for ctx, c in _places(t):
-                    place[ctx][c] += 1
-            rare = {(ctx, c) for ctx, n in place.items() if (total := sum(n.values())) >= 8 for c, k in n.items() if k < 0.15 * total}
-            group = [t for t in group if not any(x in rare for x in _places(t))]
-            seen = Counter(c for t in group for c in set(t))
-        kept, size = [], 0
-        for t in group:
-            if size < SAMPLE_CHARS:
-                kept.append(t)
-                size += len(t)
-        pieces = [m.group().encode() for t in kept for m in _SEGMENT.finditer(t) if m.group().strip()]
-        try:
-            data = zstandard.train_dictionary(48_000, pieces, level=6).as_bytes()
-        except zstandard.ZstdError:  # too little text: the text itself serves as the dictionary
-            data = b"".join(pieces)[-48_000:]
-        out[lang] = (data, frozenset(seen))
+    for lang in known:
+        place = defaultdict(Counter)
+        for w, (n, _, _) in table[lang].items():
+            for ctx, c in _places(w) if lang in LATIN else ():
+                place[ctx][c] += n
+        bad = {(ctx, c) for ctx, counts in place.items() for c in betraying(counts)}
+        ranked = sorted(table[lang].items(), key=lambda x: (-x[1][0] * _worth(x[0]), x[0]))[:WORDS]
+        out[lang] = (dictionary(lang, ((w, s) for w, (_, _, s) in ranked), bad), known[lang])
     return out
 
 
+def _worth(word: str) -> int:
+    """Bytes that one use of a dictionary's word saves, about."""
+    return max(1, len(word.encode()) - 2)
+
+
+def _rows(run: Callable[[Iterator[tuple]], Iterator[tuple]], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` over the rows of all batches of a task, as a function for ``mapInArrow``."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = []
+        for row in run(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))):
+            got.append(row)
+            if len(got) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got), schema)], schema=schema)
+                got = []
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got), schema)], schema=schema)
+
+    return over
+
+
+def train(df: DataFrame, text_col: str = "text") -> dict[str, tuple[bytes, frozenset[str]]]:
+    """Dictionary and alphabet by language, from counts over all clean texts."""
+    texts = spread(df.select(text_col).filter(F.length(text_col) > 0))
+    text, num = pa.string(), pa.int64()
+    count = _rows(lambda rows: ((*k, n) for k, n in characters(t for (t,) in rows if clean(t)).items()), pa.schema([("lang", text), ("c", text), ("n", num)]))
+    known = alphabets(map(tuple, texts.mapInArrow(count, "lang string, c string, n long").groupBy("lang", "c").agg(F.sum("n")).collect()))  # at most the characters there are
+    shared = df.sparkSession.sparkContext.broadcast(known)
+    count = _rows(lambda rows: words((t for (t,) in rows if clean(t)), shared.value), pa.schema([("lang", text), ("w", text), ("n", num), ("h", num), ("s", text)]))
+    table = texts.mapInArrow(count, "lang string, w string, n long, h long, s string").groupBy("lang", "w").agg(F.sum("n").alias("n"), F.min(F.struct("h", "s"))["s"].alias("s"))
+    table = checkpoint(table)
+    worth = F.col("n") * F.greatest(F.lit(1), F.octet_length("w") - 2)
+    top = table.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(worth.desc(), "w"))).filter(F.col("rank") <= WORDS).select("lang", "rank", "w", "s")
+    latin = F.col("lang").isin(*LATIN)  # elsewhere every letter is beyond ASCII, so that a place of three says little
+    at = _rows(lambda rows: ((lang, *p, n) for lang, w, n in rows for p in _places(w)), pa.schema([("lang", text), ("ctx", text), ("c", text), ("n", num)]))
+    places = table.filter(latin).select("lang", "w", "n").mapInArrow(at, "lang string, ctx string, c string, n long").groupBy("lang", "ctx", "c").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy("lang", "ctx")
+    places = places.withColumns({"total": F.sum("n").over(w), "most": F.max("n").over(w)}).filter("total >= 8 and most >= 0.85D * total and n < 0.15D * total")
+    at = _rows(lambda rows: ((lang, *p) for lang, s in rows for p in {p for w in _words(lang, s) for p in _places(w)}), pa.schema([("lang", text), ("ctx", text), ("c", text)]))
+    asked = top.filter(latin).select("lang", F.explode(F.array("w", "s")).alias("s")).mapInArrow(at, "lang string, ctx string, c string").distinct()
+    bad = defaultdict(set)
+    for lang, ctx, c in places.join(asked, ["lang", "ctx", "c"], "left_semi").select("lang", "ctx", "c").collect():
+        bad[lang].add((ctx, c))
+    ranked = defaultdict(list)
+    for lang, _, w, s in sorted(map(tuple, top.collect())):
+        ranked[lang].append((w, s))
+    return {lang: (dictionary(lang, ranked[lang], bad[lang]), known[lang]) for lang in known}
+
+
 def find_garbled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, restored, chains, lossy) of the rows that hold a wrongly decoded passage; no shuffle."""
-    shared = df.sparkSession.sparkContext.broadcast(train(df, text_col, id_col))
+    shared = df.sparkSession.sparkContext.broadcast(train(df, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(shared.value)
