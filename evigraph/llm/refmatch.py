@@ -30,7 +30,7 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import cached_property
+from functools import cached_property, lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -48,15 +48,15 @@ WARM_SHARE, WARM_LEAST = 0.0001, 64
 SAMPLE_REFS, SAMPLE_PAIRS = 6_000, 64
 #: Words that carry no content in a title or a citation.
 STOP = set("a an the of and in on for with to from by at as or et al others amp beta b in".split())
-ROMAN = regex.compile(r"(?:i{1,3}|iv|v|vi{1,3}|ix|x)$")
+ROMAN = frozenset("i ii iii iv v vi vii viii ix x".split())
 _TAG = regex.compile(r"</?\w{1,6}>")
-_TOKEN = re.compile(r"[^\W_]+")
+_TOKEN, _FOREIGN = re.compile(r"[^\W_]+"), re.compile(r"[^\W_\x00-\x7f]")
+_BLANK = "".join(c if c.isalnum() else " " for c in map(chr, range(128)))
 _ACCENTS = regex.compile(r"\p{Mn}+")
 _YEAR = regex.compile(r"(?<!\d)(?:19|20)\d\d(?!\d)")
 _DOI, _ARXIV, _PMC = regex.compile(r"10\.\d{4,9}/\S+"), regex.compile(r"\d{4}\.\d{4,5}"), regex.compile(r"(?i)PMC\d+")
 _CUT = regex.compile(r"…|\[\.\.\.\]|\.\.\.")
 _TAIL_MARKS = set('.”"/<([')
-_TAIL_END = regex.compile(r"[.”\"/<(\[]|,”| // ")
 NAMES = ["missing", "extra", "cover", "rare", "cut", "no_title", "year0", "year1", "year_off", "author", "authors", "venue", "bare_author_year", "bare_venue"]
 #: Used only where the sample yields too few labels of either kind.
 DEFAULT = np.array([-3.5, -3.5, 3.0, 2.0, -0.3, -3.0, 1.2, 0.4, -0.8, 1.0, 1.0, 0.3, 1.5, 2.5, -1.0])
@@ -75,7 +75,12 @@ def fold(text: str | None) -> str:
 
 
 def words(text: str) -> list[str]:
-    return _TOKEN.findall(text)
+    """The stretches of letters and digits of a text; in ASCII and marks, as most are, without a pattern."""
+    if not text.isascii():
+        if _FOREIGN.search(text):
+            return _TOKEN.findall(text)
+        text = text.encode("ascii", "replace").decode()
+    return text.translate(_BLANK).split()
 
 
 _BITS: dict[str, int] = {}
@@ -108,56 +113,67 @@ class Poster:
     def __init__(self, common: frozenset[str], warm: frozenset[str] = frozenset()):
         self.common, self.warm = common, warm
         self.slips: dict[str, list[str]] = {}
+        self.heads: set[str] = set()
+        self.tails: set[str] = set()
         for w in sorted(common | warm):
             if len(w) > 4:
                 for v in _deletions(w):
                     self.slips.setdefault(v, []).append(w)
+                for n in range(len(w) - 1, len(w) + 2):
+                    self.heads.add(w[: _spared(n)])
+                    self.tails.add(w[-_spared(n) :])
         self.mended: dict[str, tuple[str, ...]] = {}
-        self.variants: dict[str, list[int]] = {}
+        self.readings: dict[str, tuple[bool, int, tuple[str, ...]]] = {}
 
     def mend(self, token: str) -> tuple[str, ...]:
         """The common and warm words that a token is but for one slip; none if it is one itself."""
+        k = _spared(len(token))
+        if len(token) < 4 or not (token[:k] in self.heads or token[-k:] in self.tails):
+            return ()
         got = self.mended.get(token)
         if got is None:
             if len(self.mended) > 200_000:
                 self.mended.clear()
             got = ()
-            if len(token) > 3 and token not in self.common and token not in self.warm and not token.isdigit():
+            if token not in self.common and token not in self.warm and not token.isdigit():
                 near = {w for v in _deletions(token) for w in self.slips.get(v, ())}
                 got = tuple(w for w in sorted(near) if one_slip(w, token))
             self.mended[token] = got
         return got
 
-    def keys_of(self, word: str) -> list[int]:
-        got = self.variants.get(word)
+    def reading(self, token: str) -> tuple[bool, int, tuple[str, ...]]:
+        """(known, letters, warm) of a token: whether it is a common word, a slip mended; its length if it may be posted, else 0; the warm words it can be."""
+        got = self.readings.get(token)
         if got is None:
-            if len(self.variants) > 200_000:
-                self.variants.clear()
-            forms = _deletions(word)
-            if "rn" in word:  # also read as m
-                forms |= _deletions(word.replace("rn", "m"))
-            got = self.variants[word] = [_key("d:" + v) for v in forms]
+            if len(self.readings) > 200_000:
+                self.readings.clear()
+            mended = self.mend(token)
+            warm = (token,) if token in self.warm else tuple(w for w in mended if w in self.warm)
+            common = token in self.common
+            got = self.readings[token] = (common or any(w in self.common for w in mended), 0 if common or token.isdigit() else len(token), warm)
         return got
 
-    def keys(self, tokens: list[str], near: bool, least: int, done: frozenset[str] = frozenset()) -> set[int]:
-        """Keys of the rare words of at least ``least`` letters but those ``done``; with ``near`` only of those beside a common word (citations hold names, too)."""
-        common, warm, out = self.common, self.warm, set()
-        known = [t in common or any(w in common for w in self.mend(t)) for t in tokens]
+    def keys(self, tokens: list[str], near: bool, least: int, done: frozenset[str] = frozenset()) -> tuple[set[str], set[int]]:
+        """(words, keys): the rare words of at least ``least`` letters but those ``done``, to be posted by their variants, and the keys of warm ones; with ``near`` only of those beside a common word (citations hold names, too)."""
+        common, named, out = self.common, set(), set()
+        get, reading = self.readings.get, self.reading
+        read = [get(t) or reading(t) for t in tokens]
+        read += [(False, 0, ())] * 2  # so that the first word and the last ones have neighbours
         context = None
-        for i, t in enumerate(tokens):
-            if len(t) < least or t in common or t.isdigit() or t in done and t not in warm:
+        for i, (_, letters, forms) in enumerate(read):
+            if letters < least:
                 continue
-            if near and not ((i and known[i - 1]) or any(known[i + 1 : i + 3])):
+            t = tokens[i]
+            is_warm = t in self.warm
+            if t in done and not is_warm or near and not (read[i - 1][0] or read[i + 1][0] or read[i + 2][0]):
                 continue
-            if t not in warm:
-                out.update(self.keys_of(t))
-            for w in (t,) if t in warm else self.mend(t):
-                if w in warm:
-                    if context is None:
-                        context = {c for x in tokens for c in ((x,) if x in common else self.mend(x)) if c in common and c not in STOP}
-                    out.update(_key(f"w:{w}|{c}") for c in context or {""})
-        return out
-
+            if not is_warm:
+                named.add(t)
+            for w in forms:
+                if context is None:
+                    context = {c for x in tokens for c in ((x,) if x in common else self.mend(x)) if c in common and c not in STOP}
+                out.update(_key(f"w:{w}|{c}") for c in context or {""})
+        return named, out
 
     def posts(self, token: str) -> bool:
         """Whether a title word is posted by itself."""
@@ -189,6 +205,73 @@ def _key(text: str) -> int:
     return xxhash.xxh64_intdigest(text, seed=77) - 2**63
 
 
+def _spared(letters: int) -> int:
+    """A slip leaves at least so many letters as they are at one end of a word of ``letters`` letters, slipped or not."""
+    return max(1, (letters - 1) // 2)
+
+
+#: A word's hash is the sum of its letters' numbers times powers of an odd base, so that all variants of
+#: all words come from sums over the letters before and after the one left out.
+_BASE = 0xD6E8FEB86659FD93
+_INVERSE = np.uint64(pow(_BASE, -1, 2**64))
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers scattered over all 64-bit numbers, one to one."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def variant_keys(rare: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of keys of each word, all keys one word after the other): keys of the word and its one-deletion variants."""
+    forms, of = [], []
+    for i, w in enumerate(rare):
+        forms.append(w)
+        of.append(i)
+        if "rn" in w:  # also read as m
+            forms.append(w.replace("rn", "m"))
+            of.append(i)
+    letters = np.fromiter(map(len, forms), np.int64, len(forms))
+    parts, counts = [], np.zeros(len(forms), np.int64)
+    for n in np.unique(letters).tolist():
+        at = np.flatnonzero(letters == n)
+        codes = np.frombuffer("".join([forms[j] for j in at.tolist()]).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, n)
+        powers = np.cumprod(np.full(n, _BASE, np.uint64))
+        before = np.zeros((len(at), n + 1), np.uint64)
+        np.cumsum(_mixed(codes.astype(np.uint64) * _STEP) * powers, axis=1, out=before[:, 1:])
+        whole = before[:, n:]
+        cut = before[:, :n] + _INVERSE * (whole - before[:, 1:])
+        keys = _mixed(np.hstack([whole + np.uint64(n), cut + np.uint64(n - 1)]))
+        new = np.ones(keys.shape, bool)
+        new[:, 2:] = codes[:, 1:] != codes[:, :-1]  # either of two equal letters leaves the same variant
+        counts[at] = new.sum(1)
+        parts.append((at, keys, new))
+    starts = np.cumsum(counts) - counts
+    out = np.empty(int(counts.sum()), np.int64)
+    for at, keys, new in parts:
+        out[(starts[at][:, None] + np.cumsum(new, axis=1) - 1)[new]] = keys[new].view(np.int64)
+    return np.bincount(of, counts, len(rare)).astype(np.int64), out
+
+
+def posted_keys(posted: list[tuple[set[str], set[int]]]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of each distinct key of each row's words and of its further keys."""
+    at: dict[str, int] = {}
+    which = np.array([at.setdefault(w, len(at)) for named, _ in posted for w in named], np.int64)
+    sizes, keys = variant_keys(list(at))
+    n = sizes[which]
+    take = np.repeat((np.cumsum(sizes) - sizes)[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    row = np.repeat(np.repeat(np.arange(len(posted)), [len(named) for named, _ in posted]), n)
+    row = np.concatenate([row, np.repeat(np.arange(len(posted)), [len(own) for _, own in posted])])
+    key = np.concatenate([keys[take], np.array([k for _, own in posted for k in own], np.int64)])
+    order = np.lexsort((key, row))
+    row, key = row[order], key[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
+    return row[new], key[new]
+
+
 def identifiers(doi: str | None, arxiv: str | None, pmc: str | None, citation: str | None = None) -> list[str]:
     """Paper ids that the identifiers name."""
     out = []
@@ -240,7 +323,7 @@ def same_word(a: str, b: str) -> bool:
     """Equal but for a slip, or one the other's abbreviation. Numbers and numerals must be equal."""
     if a == b:
         return True
-    if a.isdigit() or b.isdigit() or ROMAN.match(a) or ROMAN.match(b) or a[0].isdigit() or b[0].isdigit():
+    if a.isdigit() or b.isdigit() or a in ROMAN or b in ROMAN or a[0].isdigit() or b[0].isdigit():
         return False
     n = min(len(a), len(b))
     if n >= 3 and (a.startswith(b) or b.startswith(a)) and abs(len(a) - len(b)) > 2 and max(len(a), len(b)) >= 6:
@@ -251,11 +334,16 @@ def same_word(a: str, b: str) -> bool:
     return one_slip(a, b) or (n > 5 and _distance(a, b, 2) <= 2)
 
 
-def _compare(title: list[str], other: list[str], whole: bool, tail_at: list[int] | None, cut: bool) -> tuple[int, int, float, set[int]]:
-    """(missing, extra, cover, matched) of the title's content words in the other words."""
+def _places(tokens: list[str]) -> dict[str, list[int]]:
     at: dict[str, list[int]] = {}
-    for j, w in enumerate(other):
+    for j, w in enumerate(tokens):
         at.setdefault(w, []).append(j)
+    return at
+
+
+def _compare(title: list[str], other: list[str], at: dict[str, list[int]], gaps: list[str] | None, cut: bool) -> tuple[int, int, float, set[int]]:
+    """(missing, extra, cover, matched) of the title's content words in the other words, which are one title if no gaps between them are given; at: where each stands."""
+    whole = gaps is None
     match: dict[int, int] = {}
     used: set[int] = set()
     content = [i for i, t in enumerate(title) if t not in STOP]
@@ -279,35 +367,57 @@ def _compare(title: list[str], other: list[str], whole: bool, tail_at: list[int]
     last = max(match)
     missing = sum(1 for i in content if i not in match and not (cut and i > last))
     end = len(other) if whole else hi + 1
-    if not whole and tail_at is not None:
-        while end < len(other) and tail_at[end] == tail_at[hi]:
+    if gaps is not None:
+        while end < len(other) and _TAIL_MARKS.isdisjoint(gaps[end]):
             end += 1
     extra = sum(1 for j in range(0 if whole else lo, end) if j not in used and other[j] not in STOP and not (cut and j > hi))
     return missing, extra, len(match) / max(1, len(content)), set(match)
 
 
-def _within(title_text: str, title: list[str], text: str, other: list[str], part: list[int] | None) -> tuple | None:
+def _within(title_text: str, title: list[str], text: str, other: list[str], gaps: list[str] | None) -> tuple | None:
     """The result of ``_compare`` where the whole title stands in the text word for word; None elsewhere."""
     at = text.find(title_text) if title else -1
     if at < 0:
         return None
     lo = text.count(" ", 0, at)
-    hi = lo + len(title)
-    end = hi
-    if part is None:
-        lo, end = 0, len(other)
+    end = hi = lo + len(title)
+    if gaps is None:
+        more = other[:lo] + other[hi:]
     else:
-        while end < len(other) and part[end] == part[hi - 1]:
+        while end < len(other) and _TAIL_MARKS.isdisjoint(gaps[end]):
             end += 1
-    first = text.count(" ", 0, at)
-    extra = sum(1 for j in range(lo, end) if not first <= j < hi and other[j] not in STOP)
-    return 0, extra, 1.0, set(range(len(title))), False
+        more = other[hi:end]
+    return 0, sum(w not in STOP for w in more), 1.0, range(len(title)), False
 
 
 def _acronym(venue: list[str]) -> str:
     return "".join(w[0] for w in venue if w not in STOP)
 
 
+@lru_cache(4096)
+def _venue(venue: str | None) -> tuple[str, list[str], list[str]]:
+    """(initials, content words, their first three letters) of a venue; there are few of them."""
+    v = words(fold(venue))
+    content = [w for w in v if w not in STOP]
+    return _acronym(v), content, [w[:3] for w in content]
+
+
+def _named(content: list[str], heads: list[str], ref: Reference) -> bool:
+    """Whether a venue's words, or their abbreviations, stand in a reference in their order."""
+    at = 0
+    for w, head in zip(content, heads):
+        if len(head) < 3:
+            return False
+        while True:
+            try:
+                at = ref.heads.index(head, at) + 1
+            except ValueError:
+                return False
+            if w.startswith(ref.words[at - 1][: max(3, len(ref.words[at - 1]) - 1)]):
+                break
+    return True
+
+
 def is_bare(tokens: list[str], common: frozenset[str]) -> bool:
     return sum(t in common and t not in STOP for t in tokens) < 4
 
@@ -328,17 +438,21 @@ class Reference:
     # what only promising candidates need
 
     @cached_property
-    def part(self) -> list[int]:
-        """Number of the stretch between title-ending marks in which each word stands."""
-        out, k, prev = [], 0, -1
-        for m in _TOKEN.finditer(self.folded):
-            if prev >= 0 and m.start() - prev > 1 and _TAIL_END.search(self.folded, prev, m.start()):
-                k += 1
-            elif prev >= 0 and m.start() - prev == 1 and self.folded[prev] in _TAIL_MARKS:
-                k += 1
-            out.append(k)
-            prev = m.end()
-        return out
+    def gaps(self) -> list[str]:
+        """What stands before each word; a mark in it may end the title."""
+        return _TOKEN.split(self.folded)
+
+    @cached_property
+    def places(self) -> dict[str, list[int]]:
+        return _places(self.words)
+
+    @cached_property
+    def title_places(self) -> dict[str, list[int]]:
+        return _places(self.title or [])
+
+    @cached_property
+    def heads(self) -> list[str]:
+        return [w[:3] for w in self.words]
 
     @cached_property
     def bare(self) -> bool:
@@ -366,9 +480,9 @@ class Reference:
         return f" {' '.join(self.title)} " if self.title else ""
 
     @cached_property
-    def odd(self) -> list[tuple[str, int]]:
-        """Its rare words with their letter pairs; needed only where no rare word of a paper stands in it."""
-        return [(w, _bits(w)) for w in self.all if len(w) >= 4 and w not in self.common]
+    def odd(self) -> list[str]:
+        """Its rare words; needed only where no rare word of a paper stands in it."""
+        return [w for w in self.all if len(w) >= 4 and w not in self.common]
 
 
 class Paper:
@@ -380,25 +494,19 @@ class Paper:
         self.year = year
         self._venue, self._authors = venue, authors
 
-    @cached_property
-    def bits(self) -> list[int]:
-        return [_bits(w) for w in self.rare]
-
     @cached_property
     def text(self) -> str:
         return f" {' '.join(self.words)} "
 
     @cached_property
-    def venue(self) -> tuple[str, list[str]]:
-        """(initials, content words)."""
-        v = words(fold(self._venue))
-        return _acronym(v), [w for w in v if w not in STOP]
+    def venue(self) -> tuple[str, list[str], list[str]]:
+        return _venue(self._venue)
 
     @cached_property
     def authors(self) -> tuple[list[str], list[str]]:
         """Name words of the first author and of the others."""
         names = (self._authors or "").split(";")
-        return [w for w in words(fold(names[0])) if len(w) >= 4], [w for n in names[1:] for w in words(fold(n)) if len(w) >= 4]
+        return [w for w in words(fold(names[0])) if len(w) >= 4], [w for w in words(fold(" ; ".join(names[1:]))) if len(w) >= 4]
 
 
 def _like(a: str, bits_a: int, b: str, bits_b: int) -> bool:
@@ -409,6 +517,19 @@ def _like(a: str, bits_a: int, b: str, bits_b: int) -> bool:
     return one_slip(a, b) or (rn and one_slip(a.replace("rn", "m"), b.replace("rn", "m")))
 
 
+def _slipped(rare: list[str], ref: Reference) -> bool:
+    """Whether a rare word stands in the reference but for a slip; most words differ at both ends and are left at that."""
+    for w in rare:
+        n, rn = len(w), "rn" in w
+        k = _spared(n)
+        head, tail = w[:k], w[-k:]
+        for x in ref.odd:
+            if rn or "rn" in x or (-2 < len(x) - n < 2 and (x.startswith(head) or x.endswith(tail))):
+                if _like(w, _bits(w), x, _bits(x)):
+                    return True
+    return False
+
+
 #: Features of a pair without a rare word in common, where the reference names a title.
 NOTHING = [5.0, 5.0] + [0.0] * 12
 
@@ -416,17 +537,17 @@ NOTHING = [5.0, 5.0] + [0.0] * 12
 def features(paper: Paper, ref: Reference, common: frozenset[str]) -> list[float]:
     """One row of NAMES."""
     t, rare, p_year = paper.words, paper.rare, paper.year
-    seen = not rare or any(w in ref.all for w in rare) or any(_like(w, n, x, m) for w, n in zip(rare, paper.bits) for x, m in ref.odd)
+    seen = not rare or not ref.all.isdisjoint(rare) or _slipped(rare, ref)
     if not seen and not ref.bare:
         return NOTHING
     first, others = paper.authors
-    author, coauthor = any(w in ref.early for w in first), any(w in ref.early for w in others)
+    author, coauthor = not ref.early.isdisjoint(first), not ref.early.isdisjoint(others)
     rows = []
     if seen:
         if ref.title:
-            rows.append(_within(paper.text, t, ref.title_text, ref.title, None) or _compare(t, ref.title, True, None, ref.title_cut) + (ref.title_cut,))
+            rows.append(_within(paper.text, t, ref.title_text, ref.title, None) or _compare(t, ref.title, ref.title_places, None, ref.title_cut) + (ref.title_cut,))
         if ref.words and not (rows and rows[0][0] + rows[0][1] == 0 and not ref.title_cut):  # a full title decides alone
-            rows.append(_within(paper.text, t, ref.text, ref.words, ref.part) or _compare(t, ref.words, False, ref.part, ref.cut) + (ref.cut,))
+            rows.append(_within(paper.text, t, ref.text, ref.words, ref.gaps) or _compare(t, ref.words, ref.places, ref.gaps, ref.cut) + (ref.cut,))
     no_title = ref.bare and (not rows or max(r[2] for r in rows) < 0.4)
     best = max(rows, key=lambda r: (-(r[0] + r[1]), r[2], not r[4]), default=(5, 5, 0.0, set(), False))
     if len(rows) == 2 and not rows[0][4] and rows[0][2] >= 0.4 and rows[1][4]:
@@ -435,11 +556,8 @@ def features(paper: Paper, ref: Reference, common: frozenset[str]) -> list[float
         best = (0, 0, 0.0, set(), False)
     found = not no_title and (not rare or any(t[i] in rare for i in best[3]))
     off = min((abs(y - p_year) for y in ref.years), default=None) if p_year else None
-    has_venue = False
-    initials, content = paper.venue
-    if content and ref.words:
-        it = iter(ref.words)
-        has_venue = initials in ref.early or all(any(len(x) >= 3 and w.startswith(x[: max(3, len(x) - 1)]) for x in it) for w in content)
+    initials, content, heads = paper.venue
+    has_venue = bool(content and ref.words) and (initials in ref.early or _named(content, heads, ref))
     y0, y1 = off == 0, off == 1
     return [float(x) for x in (min(best[0], 5), min(best[1], 5), best[2], found, best[4], no_title, y0, y1, off is not None and off > 1, author, coauthor, has_venue, no_title and (author or coauthor) and y0, no_title and has_venue and y0)]
 
@@ -471,6 +589,25 @@ def train(x: np.ndarray, y: np.ndarray, fold_of: np.ndarray) -> tuple[np.ndarray
     return (w, float(slope), float(constant)) if slope > 0 else (w, 1.0, 0.0)
 
 
+def reference_keys(h: Poster, citation: str | None, title: str | None, year: int | None, doi: str | None, arxiv: str | None, pmc: str | None, plain: bool, alone: bool) -> tuple[set[str], set[int]]:
+    """(rare words, further keys) of a reference; plain, alone: what some title needs, see ``Poster.kind``."""
+    # a letter may be missing from a rare word of five
+    named = words(fold(title)) if title else []
+    rare, own = h.keys(named, False, 4)
+    text = fold(citation)
+    tokens = words(text)
+    for mine, more in zip((rare, own), h.keys(tokens, not alone, 4, frozenset(named))):
+        mine |= more
+    if plain:
+        own |= h.plain_reference(named, tokens)
+    if not title and is_bare(tokens, h.common):
+        for y in {year} if year else set(_YEAR.findall(text)):
+            own.update(_key(f"{w}|{y}") for w in {*tokens[:14], *tokens[-14:]} if len(w) >= 4 and w not in h.common and not w.isdigit())
+    if doi or arxiv or pmc or citation and "10." in citation:
+        own.update(_key(p) for p in identifiers(doi, arxiv, pmc, citation if citation and "10." in citation else None))
+    return rare, own
+
+
 def match(papers: DataFrame, refs: DataFrame, authors: DataFrame | None = None, threshold: float = 0.5, sample_refs: int = SAMPLE_REFS) -> DataFrame:
     """(ref_row_id, paper_id, confidence): the cited paper of each reference that has one.
 
@@ -508,9 +645,9 @@ def match(papers: DataFrame, refs: DataFrame, authors: DataFrame | None = None,
     plain, alone = bool(needs[0]), bool(needs[1])
     slim = refs.select("ref_row_id", "raw_citation", F.col("title").alias("r_title"), F.col("pub_year").alias("r_year"), "doi", "arxiv_id", "pmc_id").filter(F.col("ref_row_id").isNotNull())
 
-    def keyed(posted: list[set[int]], ids: pa.Array, name: str) -> pa.RecordBatch:
-        rows = np.repeat(np.arange(len(posted)), [len(k) for k in posted])
-        return pa.RecordBatch.from_arrays([pa.array([k for own in posted for k in own], pa.int64()), ids.take(pa.array(rows, pa.int64()))], names=["key", name])
+    def keyed(posted: list[tuple[set[str], set[int]]], ids: pa.Array, name: str) -> pa.RecordBatch:
+        rows, keys = posted_keys(posted)
+        return pa.RecordBatch.from_arrays([pa.array(keys), ids.take(pa.array(rows))], names=["key", name])
 
     def paper_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = Poster(shared.value, shared_warm.value)
@@ -518,34 +655,19 @@ def match(papers: DataFrame, refs: DataFrame, authors: DataFrame | None = None,
             posted = []
             for pid, title, year, _, author in zip(*(c.to_pylist() for c in b.columns)):
                 named = words(fold(title))
-                own = h.keys(named, False, 5)
+                rare, own = h.keys(named, False, 5)
                 if plain and h.kind(named)[0]:
                     own |= h.plain_title(named, shared_counts.value)
                 own.add(_key(pid))
                 if author and year:
                     own.update(_key(f"{w}|{year}") for w in set(words(fold(author))) if len(w) >= 4)
-                posted.append(own)
+                posted.append((rare, own))
             yield keyed(posted, b.column(0), "paper_id")
 
     def ref_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = Poster(shared.value, shared_warm.value)
         for b in batches:
-            posted = []
-            for _, citation, title, year, doi, arxiv, pmc in zip(*(c.to_pylist() for c in b.columns)):
-                # a letter may be missing from a rare word of five
-                named = words(fold(title)) if title else []
-                own = h.keys(named, False, 4)
-                text = fold(citation)
-                tokens = words(text)
-                own |= h.keys(tokens, not alone, 4, frozenset(named))
-                if plain:
-                    own |= h.plain_reference(named, tokens)
-                if not title and is_bare(tokens, h.common):
-                    for y in {year} if year else set(_YEAR.findall(text)):
-                        own.update(_key(f"{w}|{y}") for w in {*tokens[:14], *tokens[-14:]} if len(w) >= 4 and w not in h.common and not w.isdigit())
-                if doi or arxiv or pmc or citation and "10." in citation:
-                    own.update(_key(p) for p in identifiers(doi, arxiv, pmc, citation if citation and "10." in citation else None))
-                posted.append(own)
+            posted = [reference_keys(h, *v, plain, alone) for v in zip(*(c.to_pylist() for c in b.columns[1:]))]
             yield keyed(posted, b.column(0), "ref_row_id")
 
     # pairs travel as numbers: 64-bit hashes of paper ids, resolved on both sides of the join

@@ -213,3 +213,42 @@ def test_titles_without_a_rare_word_or_a_common_neighbour(spark):
     r = spark.createDataFrame([(1, None, titles["t3_4"], 2010, None, None, None), (2, f"Bor, Q. (2010). {titles['t5_6']}. 4, 7-9.", None, 2010, None, None, None), (3, f"Borzu: {titles['alone']}. 2010", None, 2010, None, None, None)], REF_SCHEMA)
     got = {x.ref_row_id: x.paper_id for x in refmatch.match(p, r).collect()}
     assert got == {1: "t3_4", 2: "t5_6", 3: "alone"}
+
+
+def test_words_unlike_any_common_one_are_mended_without_variants(monkeypatch):
+    """Most words of a citation differ from every common word at both ends; their variants are made only to be posted, all at once."""
+    made, deletions = [], refmatch._deletions
+    common = frozenset(["sequencing", "closure", "wound", "liver", "burner"]) | refmatch.STOP
+    h = refmatch.Poster(common, frozenset(["kidney"]))
+    monkeypatch.setattr(refmatch, "_deletions", lambda w: made.append(w) or deletions(w))
+    rare = [f"x{w}x" for w in invented(300)]
+    assert h.keys(rare, False, 4) == (set(rare), set()) and not made
+    words = [*common, "kidney"]
+    for w in [w for w in words if len(w) > 4]:
+        for i in range(len(w)):
+            for x in (w[:i] + w[i + 1 :], w[:i] + "x" + w[i:], w[:i] + "x" + w[i + 1 :], w[:i] + w[i + 1 : i + 2] + w[i] + w[i + 2 :], w[:i] + w[i] + w[i:]):
+                assert h.mend(x) == (() if x in words or len(x) < 4 else tuple(v for v in sorted(words) if len(v) > 4 and refmatch.one_slip(v, x))), x
+
+
+def test_variant_keys_are_those_of_the_variants():
+    some = [*invented(200), "kornalib", "rnrn", "aaaa", "ßßab", "x" * 500, "\U0001d4d0bcde", "burner"]
+    sizes, keys = refmatch.variant_keys(some)
+    own = [set(k.tolist()) for k in np.split(keys, np.cumsum(sizes)[:-1])]
+    want = [refmatch._deletions(w) | (refmatch._deletions(w.replace("rn", "m")) if "rn" in w else set()) for w in some]
+    for k, v in zip(own, want):
+        assert len(k) == len(v)
+    for i, j in itertools.combinations(range(len(some)), 2):
+        assert len(own[i] & own[j]) == len(want[i] & want[j]), (some[i], some[j])
+    assert refmatch.variant_keys([])[1].size == 0
+
+
+def test_keys_of_a_row_are_distinct():
+    posted = [({"kormalib", "kormalbi"}, {5, 7}), (set(), set()), ({"kormalib"}, {7})]
+    row, key = refmatch.posted_keys(posted)
+    assert len(set(zip(row.tolist(), key.tolist()))) == len(row) == len(refmatch._deletions("kormalib") | refmatch._deletions("kormalbi")) + 2 + len(refmatch._deletions("kormalib")) + 1
+    assert set(row.tolist()) == {0, 2} and [x.size for x in refmatch.posted_keys([(set(), set())])] == [0, 0]
+
+
+def test_words_of_any_script():
+    for text in ("a-b_c 12x", "Größe – “α-beta”", "naïve", "– “x1” …", "", "日本語 text", "a\x1cb\u2028c"):
+        assert refmatch.words(text) == refmatch._TOKEN.findall(text)
