@@ -39,6 +39,23 @@ def test_many_equal_vectors_and_bad_ones(spark):
     assert neighbours(df.limit(0), "id", "v", 5, 8).count() == 0
 
 
+def test_pivots_grow_and_bundled_files_lose_nothing(spark, monkeypatch):
+    from evigraph.llm import knn
+
+    assert knn.MAX_PIVOTS >= 2 * 15_600_000**0.5  # 6.2 GB: files of 5,900 vectors, not 11,400
+    rng = np.random.default_rng(2)
+    x = (rng.normal(size=(60, 16))[rng.integers(0, 60, 2000)] + rng.normal(size=(2000, 16)) / 2).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>")
+    monkeypatch.setattr(knn, "FLAT", 32)  # up to 89 pivots in bundles of 6
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos = u @ u.T
+    np.fill_diagonal(cos, -3)
+    want = {(min(i, j), max(i, j)) for i in range(len(x)) for j in np.argsort(-cos[i], kind="stable")[:5].tolist()}
+    for options, least in (({"posts": 12, "max_pivots": 40}, 0.99), ({"block": 128}, 0.9)):
+        got = {tuple(r) for r in neighbour_pairs(df, "id", "v", 5, 16, **options).collect()}
+        assert len(got & want) >= least * len(want)
+
+
 def test_packs_are_lossless():
     import zstandard
 
